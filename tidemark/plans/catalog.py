@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from tidemark.plans import catalog_features  # noqa: F401
+from tidemark.plans import catalog_features, catalog_formulas, catalog_monitoring  # noqa: F401
 from tidemark.plans.registry import CATALOG
 
 __all__ = ["CATALOG"]

@@ -26,7 +26,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def impressions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One impression per line item; nulls, a shift in I4 from batch 5 on, split by key."""
+    """One impression per line item; nulls, a shift in I4 from batch 5 on, split by key.
+
+    Scores are rounded so that equal ones tie alike in both engines.
+    """
     lines = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice",
         "l_discount", "l_returnflag", "l_linestatus",
@@ -60,7 +63,7 @@ def impressions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderpriority").alias("C4"),
         F.col("c_mktsegment").alias("C5"),
         (F.col("year") - 1995).cast("long").alias("batch_id"),
-        (dbl(1) / (dbl(1) + F.exp(-logit))).alias("p_click"),
+        F.round(dbl(1) / (dbl(1) + F.exp(-logit)), 9).alias("p_click"),
     )
     return split_by_key(columns, "l_orderkey", hashed=False)
 
@@ -77,7 +80,7 @@ IMPRESSIONS = """impressions AS (
     p_type AS C3, o_orderpriority AS C4, c_mktsegment AS C5,
     CAST(year(o_orderdate) - 1995 AS BIGINT) AS batch_id,
     CASE WHEN l_orderkey % 10 < 8 THEN 'train' WHEN l_orderkey % 10 = 8 THEN 'val' ELSE 'test' END AS split,
-    1e0 / (1e0 + exp(-(-0.7e0 + 0.01e0 * l_quantity - 2e0 * l_discount))) AS p_click
+    round(1e0 / (1e0 + exp(-(-0.7e0 + 0.01e0 * l_quantity - 2e0 * l_discount))), 9) AS p_click
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey
   JOIN part ON l_partkey = p_partkey JOIN customer ON o_custkey = c_custkey)"""
 
