@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,6 +25,11 @@ def dbl(value: float) -> Column:
     return F.lit(float(value))
 
 
+def double_table(values: Iterable[float]) -> Column:
+    """Constant array<double>; folds to a single literal, however long it is."""
+    return F.split(F.lit(",".join(repr(float(v)) for v in values)), ",").cast("array<double>")
+
+
 def magnitude(x: Column) -> Column:
     """Absolute value with missing read as 0.0."""
     return F.coalesce(F.abs(x), dbl(0))

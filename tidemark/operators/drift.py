@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.scalars import (
     COVERAGE_ALERT,
     dbl,
+    double_table,
     finite_or_null,
     is_finite,
     psi_level,
@@ -201,7 +202,7 @@ def drift_report(
         entry = [
             F.lit(f).alias("field"),
             F.col("n"),
-            psi(F.array(*[dbl(e) for e in reference.expected[f]]), shares(counts)).alias("psi"),
+            psi(double_table(reference.expected[f]), shares(counts)).alias("psi"),
         ]
         if f in ranges:
             low, high = ranges[f]

@@ -47,13 +47,14 @@ def operator_fits(curves: DataFrame, keys: Sequence[str] = CURVE) -> DataFrame:
     x, phi = F.col("x"), F.col("phi")
     aggs = [F.count(phi).alias("_n"), F.avg(phi).alias("_my"), F.var_pop(phi).alias("_vy")]
     for op in OPERATORS:
-        f = shape(op, x)
+        f = F.col(f"_f_{op}")
         aggs += [
             F.avg(f).alias(f"_m_{op}"),
             F.var_pop(f).alias(f"_v_{op}"),
             F.covar_pop(f, phi).alias(f"_c_{op}"),
         ]
-    points = curves.filter(is_finite(x) & is_finite(phi))
+    finite = curves.filter(is_finite(x) & is_finite(phi))
+    points = finite.select(*keys, phi, *[shape(op, x).alias(f"_f_{op}") for op in OPERATORS])
     moments = points.groupBy(*keys).agg(*aggs)
     ss_tot = F.col("_n") * F.col("_vy")
     fits = []

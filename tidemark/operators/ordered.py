@@ -121,7 +121,8 @@ def exact_quantiles(
     Pass 1 counts rows per coarse bucket (a few thousand rows per field).  The
     buckets holding a wanted position are few - at most two per quantile - and
     only their rows take part in pass 2, which orders them exactly.  A value
-    that repeats is one counted row before anything is ordered.
+    that repeats is one counted row before anything is ordered.  Without keys
+    pass 1 runs at once (an action); with keys the whole result is lazy.
     """
     keys = list(keys)
     by = [*keys, "field"]
@@ -147,7 +148,9 @@ def exact_quantiles(
         wanted = wanted | ((low <= last) & (high >= first))
     needed = placed.filter(wanted).drop("rows")
     if not keys:
-        needed = F.broadcast(needed)  # at most 2 * len(probs) * len(fields) rows
+        # at most 2 * len(probs) * len(fields) rows: a constant of pass 2
+        found = needed.collect()
+        needed = F.broadcast(df.sparkSession.createDataFrame(found, needed.schema))
     values = (
         long.groupBy(*by, "coarse", "value")
         .agg(F.count("*").alias("copies"))

@@ -156,7 +156,7 @@ def drained(spark: SparkSession, sf_dir: str) -> Sinks:
     df = impressions(spark, sf_dir)
     train = df.filter(F.col("split") == "train")
     artifacts = fit_artifacts(train, LOG, STD, CATEGORIES)
-    reference = drift.fit_reference(artifacts.apply(train), ["I1", "I4", "I6"])
+    reference = drift.fit_reference(artifacts.apply_numeric(train), ["I1", "I4", "I6"])
     inbox, root = scratch_path(spark, "inbox"), scratch_path(spark, "drained")
     _envelopes(df).repartition(6).write.parquet(inbox)
     job = BatchJob(artifacts, _score, reference, "linear@fixed", "parquet", Sinks(root))
