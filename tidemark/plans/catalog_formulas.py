@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.formulas import OPERATORS, number_text, shape
-from tidemark.functions.scalars import dbl, double_table, fidelity_verdict, monotone_verdict, psi_level, rounded
+from tidemark.functions.scalars import dbl, fidelity_verdict, monotone_verdict, psi_level, rounded
 from tidemark.functions.splines import with_basis, with_curve_values
 from tidemark.operators import ablation, curves, extraction
 from tidemark.operators.modes import mode_first_seen
@@ -210,7 +210,7 @@ def curve_values(spark, sf_dir):
     asked = {}
     for d in range(2):
         base, w = curve_weights_of(d)
-        asked[f"phi{d}"] = (x, KNOTS, dbl(base), double_table(w))
+        asked[f"phi{d}"] = (x, KNOTS, base, w)
     out = with_curve_values(impressions(spark, sf_dir), asked, ORDER)
     return rounds(out.select(*KEYS, *asked), *asked)
 
