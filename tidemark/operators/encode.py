@@ -138,7 +138,7 @@ def apply_index_maps(
     """Adds ``<c>_idx``; unseen values and nulls get the column's size.
 
     ``materialize(df, i)`` may cut the plan after each ``chunk`` columns, for
-    example with :func:`materialize_by_checkpoint`.
+    example with :func:`materialize_to_table`.
     """
     source = df.columns
     for i in range(0, len(columns), chunk):
@@ -149,8 +149,8 @@ def apply_index_maps(
     return df.select(*source, *[f"{c}_idx" for c in columns])
 
 
-def materialize_by_checkpoint(df: DataFrame, i: int) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint that outlives lost executors."""
+def materialize_to_table(df: DataFrame, i: int) -> DataFrame:
+    """Cut the lineage with a table in the shared folder; outlives lost executors."""
     return pin(df)
 
 

@@ -235,7 +235,7 @@ def apply_large_index_maps(spark, sf_dir):
     maps = encode.build_index_maps(_train(spark, sf_dir), ["C2", "C3"])
     out = encode.apply_index_maps(
         impressions(spark, sf_dir), maps, ["C2", "C3"], chunk=1,
-        materialize=encode.materialize_by_checkpoint, broadcast_values=2,
+        materialize=encode.materialize_to_table, broadcast_values=2,
     )
     return out.select(*KEYS, "C2_idx", "C3_idx")
 

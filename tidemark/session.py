@@ -35,6 +35,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def pin(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: cuts the lineage and fixes row ids for good."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write to the shared folder and read back.
+
+    Cuts the lineage, fixes generated row ids for good, and survives lost
+    executors.  A columnar table also keeps pruning and pushdown, which a
+    checkpointed plan would lose.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, "pinned")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

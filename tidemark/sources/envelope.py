@@ -41,7 +41,7 @@ def encode_lines(
     stripped, so trailing empty categories survive.
     """
     width = 1 + len(numeric) + len(categories)
-    cells = F.split(F.col(line), "\t")
+    cells = F.col("_cells")
 
     def cell(i: int) -> Column:
         return F.nullif(F.get(cells, F.lit(i)), F.lit(""))
@@ -54,12 +54,16 @@ def encode_lines(
         for j, c in enumerate(categories)
     ]
     message = F.struct(
-        timestamp.cast("long").alias("timestamp"),
+        F.col("_at").alias("timestamp"),
         F.coalesce(cell(0).try_cast("int"), F.lit(0)).alias("label"),
         F.struct(*numbers).alias("numerical"),
         F.struct(*names).alias("categorical"),
     )
-    return lines.filter(F.size(cells) >= width).select(F.to_json(message).alias("value"))
+    # split once per line, in its own projection
+    parts = lines.select(
+        timestamp.cast("long").alias("_at"), F.split(F.col(line), "\t").alias("_cells")
+    )
+    return parts.filter(F.size(cells) >= width).select(F.to_json(message).alias("value"))
 
 
 def flatten(
