@@ -561,11 +561,12 @@ def operator_sets(spark, sf_dir):
     return rounds(reports.operator_sets(results_of(spark, sf_dir)), "avg_r2")
 
 
-@query("R4", REPORT + f"""SELECT s.field_name, operator, seeds_agreeing, n_seeds,
+@query("R4 G3", REPORT + f"""SELECT s.field_name, operator, seeds_agreeing, n_seeds,
   {r6('seeds_agreeing / CAST(n_seeds AS DOUBLE)')} AS stability, {r6('r2_mean')} AS r2_mean FROM stability s
   JOIN (SELECT field_name, avg(r2) AS r2_mean FROM results GROUP BY field_name) m ON s.field_name = m.field_name""")
 def full_stability(spark, sf_dir):
-    return rounds(reports.full_stability(results_of(spark, sf_dir)), "stability", "r2_mean")
+    results = reports.require_accepted(results_of(spark, sf_dir))
+    return rounds(reports.full_stability(results), "stability", "r2_mean")
 
 
 @query("R4", REPORT + f"""SELECT count(*) AS n_fields, count(*) FILTER (WHERE seeds_agreeing = n_seeds) AS n_perfect,

@@ -54,6 +54,17 @@ def csv_with_header(spark, sf_dir):
     return out.select("encoder", "seed", "dataset", "test_auc", F.col("epochs").cast("long").alias("epochs"))
 
 
+@query("S6 S3", with_ctes(EXPERIMENTS) + f"SELECT encoder, dataset, {r6('test_auc')} AS test_auc, seed FROM experiments")
+def table_overwrite(spark, sf_dir):
+    """A table replaced by one with another schema, read back by name."""
+    path, table = scratch_path(spark, "table"), "tidemark_overwritten"
+    results = rounds(fx.experiments(spark, sf_dir), "test_auc")
+    spark.sql(f"DROP TABLE IF EXISTS {table}")
+    tables.overwrite_table(results.select("encoder", "epochs"), table, path=f"{path}/1")
+    tables.overwrite_table(results.select("encoder", "dataset", "test_auc", "seed"), table, ["seed"], f"{path}/2")
+    return tables.read_table(spark, table, ["encoder", "dataset", "test_auc", "seed"])
+
+
 @query("S7 S8 S11", with_ctes(EXPERIMENTS) + f"""SELECT encoder, {r6('test_auc')} AS test_auc, CAST(NULL AS BIGINT) AS epochs,
   true AS is_stamped FROM experiments UNION ALL SELECT encoder, {r6('test_auc')}, epochs, true FROM experiments WHERE seed = 0""")
 def append_with_schema_merge(spark, sf_dir):

@@ -50,9 +50,14 @@ def read_parquet(
     return df.select(*columns) if columns else df
 
 
-def overwrite_table(df: DataFrame, table: str, partition_by: Sequence[str] = ()) -> None:
-    """Replace a table together with its schema."""
-    df.write.mode("overwrite").partitionBy(*partition_by).format("parquet").saveAsTable(table)
+def overwrite_table(
+    df: DataFrame, table: str, partition_by: Sequence[str] = (), path: str | None = None
+) -> None:
+    """Replace a table together with its schema; ``path`` keeps its files outside the warehouse."""
+    writer = df.write.mode("overwrite").partitionBy(*partition_by).format("parquet")
+    if path:
+        writer = writer.option("path", path)
+    writer.saveAsTable(table)
 
 
 def overwrite_path(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
