@@ -32,12 +32,34 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> pa.Array:
     return pc.fill_null(batch.column(column).cast(pa.large_string()), "")
 
 
+_SPACED = np.arange(256, dtype=np.uint8)
+_SPACED[9:14] = 32
+_FOLDED = _SPACED.copy()
+_FOLDED[65:91] += 32
+
+
+def _translated(text: pa.Array, table: np.ndarray) -> pa.Array:
+    """A text array without nulls, its bytes looked up in a table that changes ASCII only."""
+    at, raw = string_bytes(text)
+    return pa.LargeStringArray.from_buffers(len(text), pa.py_buffer(np.ascontiguousarray(at)), pa.py_buffer(table[raw]))
+
+
+def spaced(text: pa.Array) -> pa.Array:
+    """ASCII white space as spaces."""
+    return _translated(text, _SPACED)
+
+
+def folded(text: pa.Array) -> pa.Array:
+    """ASCII white space as spaces, A-Z lowered."""
+    return _translated(text, _FOLDED)
+
+
 def word_lists(text: pa.Array) -> tuple[np.ndarray, pa.Array]:
     """Offsets of each text's words, and all words, A-Z lowered.
 
     Words are runs of anything but space and \\x09-\\x0D.
     """
-    split = pc.ascii_split_whitespace(pc.ascii_lower(text))
+    split = pc.split_pattern(folded(text), " ")
     flat = split.flatten()
     at = split.offsets.to_numpy().astype(np.int64)
     at = at - at[0]

@@ -1,28 +1,38 @@
 """Batch encoding of whole texts with a public tokenizer, words met before from a cache.
 
-A text is cut before single spaces, where the tokenizer's own pre-tokenizer always
-cuts, so the ids of the pieces joined are the ids of the text.  Distinct pieces of a
-slice are found by Arrow; only pieces not in the worker's cache go to the tokenizer.
+A text is cut where the tokenizer's own pre-tokenizer always cuts (before single
+spaces, at lone line ends, before the comma or stop that closes a word), so the ids of
+the pieces joined are the ids of the text.  Distinct pieces of a slice are found by
+Arrow; only pieces not in the worker's cache go to the tokenizer, many in one run.
 Texts in which other white space stands before a space are encoded whole.
 """
 
 from __future__ import annotations
 
 import os
+from array import array
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from tidemark.llm.batches import folded, spaced
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Pieces a worker remembers in each of two generations, and the longest one kept.
-CACHE_PIECES = 150_000
+CACHE_PIECES = 400_000
 CACHE_BYTES = 64
 #: White space of any kind before a space.
 BEFORE_SPACE = r"[\x09-\x0d\x1c-\x20\x{85}\p{Z}] "
 
+# Fixed marks of the tokenizer files: a leading space, the opening of a special token.
+SPACE_MARK, SPECIAL = "\u0120", "<|"
+#: Joins pieces where spaces leave no trace; a control byte no merge knows.
+MARK = "\x01"
+RUN = 200
+
 
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
@@ -38,53 +48,126 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.spaced = spaced
-        self.young: dict[str, np.ndarray] = {}
-        self.old: dict[str, np.ndarray] = {}
-
-    def _ids(self, text: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch(text, add_special_tokens=False)]
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        # ids at which a joined run of pieces can be cut apart again
+        vocabulary = self.tokenizer.get_vocab()
+        self.opens = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        for token, number in vocabulary.items():
+            self.opens[number] = token.startswith(SPACE_MARK)
+        mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
+
+    def _each(self, text: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(text, add_special_tokens=False)]
+
+    def _joined(self, atoms: list[str]) -> list[bytes]:
+        """ids of atoms, encoded in runs and cut apart."""
+        out = []
+        for a in range(0, len(atoms), RUN):
+            part = atoms[a : a + RUN]
+            text = "".join(part) if self.spaced else f" {MARK} ".join(part)
+            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+            if self.spaced:
+                cuts = np.flatnonzero(self.opens[ids])[1:]
+            else:
+                marks = ids == self.mark
+                cuts = np.flatnonzero(marks)
+                cuts -= np.arange(len(cuts))
+                ids = ids[~marks]
+            if len(cuts) + 1 != len(part):
+                raise ValueError("a run of pieces was not cut where it was joined")
+            raw = ids.tobytes()
+            ends = [4 * int(c) for c in cuts]
+            out.extend(raw[x:y] for x, y in zip([0, *ends], [*ends, len(raw)]))
+        return out
 
-    def _remembered(self, pieces: list[str]) -> list[np.ndarray]:
-        young, old = self.young, self.old
-        out = [young.get(p) for p in pieces]
+    def _joins(self, atom: str) -> bool:
+        if len(atom) > CACHE_BYTES or SPECIAL in atom:
+            return False
+        if self.spaced:
+            return atom[0] == " " and len(atom) > 1 and len(atom.split()) == 1 and not atom[1].isspace() and not atom[-1].isspace()
+        return self.mark is not None and MARK not in atom
+
+    def _atoms(self, piece: str, lead: str) -> list[str]:
+        """Parts of a piece between which the pre-tokenizer cuts: at a line end between
+        characters that are no space, and before commas and stops that close a word."""
+        if "\n" in piece and self.spaced:
+            lines = piece.split("\n")
+            if all(x and not x[0].isspace() and not x[-1].isspace() for x in lines):
+                out = self._atoms(lines[0], lead)
+                for x in lines[1:]:
+                    out.append("\n")
+                    out += self._atoms(x, "")
+                return out
+        stem = piece.rstrip(".,")
+        if stem and len(stem) < len(piece) and stem[-1].isalnum() and SPECIAL not in piece:
+            return [lead + stem, piece[len(stem) :]]
+        return [lead + piece]
+
+    def _remembered(self, pieces: list[str], lead: str) -> tuple[np.ndarray, list[bytes]]:
+        """Number of atoms of each piece, and the ids of all atoms."""
+        atoms: list[str] = []
+        count = np.empty(len(pieces), np.int64)
+        for i, p in enumerate(pieces):
+            if p.isalnum():
+                atoms.append(lead + p)
+                count[i] = 1
+            else:
+                own = self._atoms(p, lead) if p or lead else []
+                atoms += own
+                count[i] = len(own)
+        out = list(map(self.young.get, atoms))
         lack = []
-        for i, ids in enumerate(out):
+        for i in [i for i, ids in enumerate(out) if ids is None]:
+            ids = out[i] = self.old.get(atoms[i])
             if ids is None:
-                ids = out[i] = old.get(pieces[i])
-                if ids is None:
-                    lack.append(i)
-                else:
-                    young[pieces[i]] = ids
-        for a in range(0, len(lack), 20_000):
-            part = lack[a : a + 20_000]
-            for i, ids in zip(part, self._ids([pieces[i] for i in part])):
-                out[i] = ids
-                if len(pieces[i]) <= CACHE_BYTES:
-                    young[pieces[i]] = ids
-        if len(young) > CACHE_PIECES:
-            self.old, self.young = young, {}
-        return out
+                lack.append(i)
+            else:
+                self.young[atoms[i]] = ids
+        new = dict.fromkeys(atoms[i] for i in lack)
+        joined, other = [], []
+        for x in new:
+            (joined if self._joins(x) else other).append(x)
+        new.update(zip(joined, self._joined(joined)))
+        for a in range(0, len(other), 20_000):
+            new.update(zip(other[a : a + 20_000], self._each(other[a : a + 20_000])))
+        for i in lack:
+            out[i] = new[atoms[i]]
+        self.young.update((k, v) for k, v in new.items() if len(k) <= CACHE_BYTES)
+        if len(self.young) > CACHE_PIECES:
+            self.old, self.young = self.young, {}
+        return count, out
 
     def encode(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Offsets of each text's ids, and all ids."""
         n = len(text)
         if not n:
             return np.zeros(1, np.int64), np.zeros(0, np.uint32)
-        whole = pc.match_substring_regex(text, BEFORE_SPACE).to_numpy(zero_copy_only=False)
-        split = pc.split_pattern(pc.if_else(pa.array(whole), "", text), " ")
+        if self.spaced:
+            whole = pc.match_substring_regex(text, BEFORE_SPACE).to_numpy(zero_copy_only=False)
+            split = pc.split_pattern(pc.if_else(pa.array(whole), "", text), " ")
+        else:
+            # the tokenizer lowers letters and drops white space itself
+            whole = np.zeros(n, bool)
+            split = pc.split_pattern(pc.if_else(pc.match_substring(text, SPECIAL), spaced(text), folded(text)), " ")
         at = split.offsets.to_numpy().astype(np.int64)
         at -= at[0]
-        pieces = split.flatten()
-        if self.spaced:
-            lead = np.full(len(pieces), " ", object)
-            lead[at[:-1][np.diff(at) > 0]] = ""
-            pieces = pc.binary_join_element_wise(pa.array(lead, pa.large_string()), pieces.cast(pa.large_string()), pa.scalar("", pa.large_string()))
-        coded = pieces.dictionary_encode()
+        coded = split.flatten().dictionary_encode()
         codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        known = self._remembered(coded.dictionary.to_pylist())
-        size = np.fromiter(map(len, known), np.int64, len(known))
-        flat = np.concatenate(known) if known else np.zeros(0, np.uint32)
-        start = np.cumsum(size) - size
+        pieces = coded.dictionary.to_pylist()
+        count, known = self._remembered(pieces, " " if self.spaced else "")
+        if self.spaced:  # a text's first piece has no space before it
+            first = at[:-1][np.diff(at) > 0]
+            own = self._each([pieces[c] for c in codes[first]])
+            codes[first] = len(count) + np.arange(len(first))
+            count = np.concatenate([count, np.ones(len(first), np.int64)])
+            known += own
+        atom_ends = np.cumsum(np.fromiter(map(len, known), np.int64, len(known)) // 4)
+        flat = np.frombuffer(b"".join(known), np.uint32)
+        ends = np.concatenate([[0], atom_ends])[np.cumsum(count)]
+        size = np.diff(ends, prepend=0)  # of each piece
+        start = ends - size
         n_ids = size[codes]
         ends = np.cumsum(n_ids)
         ids = flat[np.repeat(start[codes] - (ends - n_ids), n_ids) + np.arange(n_ids.sum())]
@@ -92,8 +175,8 @@ class PieceEncoder:
         if whole.any():
             rows = np.flatnonzero(whole)
             parts = np.split(ids, out_at[1:-1])
-            for i, x in zip(rows, self._ids([text[int(i)].as_py() for i in rows])):
-                parts[i] = x
+            for i, x in zip(rows, self._each([text[int(i)].as_py() for i in rows])):
+                parts[i] = np.frombuffer(x, np.uint32)
             ids = np.concatenate(parts)
             out_at = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
         return out_at, ids
