@@ -25,6 +25,8 @@ from tidemark.llm.batches import fold, slices, sums_between, texts
 
 BUCKET_BITS = 16
 GRAMS = 3
+#: Text bytes a task turns into n-grams at a time.
+SLICE = 1 << 20
 MOST_LANGUAGES = 1000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -43,39 +45,33 @@ def _lowered() -> np.ndarray:
     return table
 
 
-def hashed_grams(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Offsets and buckets of each text's n-grams, and whether it has a letter.
+def hashed_grams(text: pa.Array) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """For each n-gram length the offsets and buckets of every text, and whether a text has a letter.
 
     Repeated spaces count once, and no n-gram crosses two texts.
     """
     rows = text.to_pylist()
-    raw = np.frombuffer("\n".join(rows).encode("utf-32-le", "replace"), np.uint32) if rows else np.zeros(0, np.uint32)
+    raw = np.frombuffer("\n".join(rows).encode("utf-32-le", "replace"), np.uint32)
     size = np.fromiter(map(len, rows), np.int64, len(rows))
     ends = np.cumsum(size + 1) - 1
     chars = _lowered()[raw]
-    doc = np.repeat(np.arange(len(rows)), size + 1)[: len(chars)]
+    doc = np.repeat(np.arange(len(rows), dtype=np.int32), size + 1)[: len(chars)]
     letter = chars != 32
     has = np.bincount(doc[letter], minlength=len(rows)) > 0
     keep = letter.copy()
     keep[1:] |= letter[:-1]  # the first space after a letter
     keep[ends[:-1]] = False
-    chars, doc = chars[keep].astype(np.uint64), doc[keep]
-    owners, buckets = [], []
+    chars, doc = chars[keep], doc[keep]
+    grams = []
     code = np.zeros(len(chars), np.uint64)
     for k in range(1, GRAMS + 1):
-        m = len(chars) - k + 1
-        if m <= 0:
-            break
-        code = (code[:m] ^ chars[k - 1 :]) * MIX
+        m = max(0, len(chars) - k + 1)
+        code = (code[:m] ^ chars[k - 1 : k - 1 + m]) * MIX
         code ^= code >> np.uint64(31)
-        own = doc[:m] == doc[k - 1 :]
-        owners.append(doc[:m][own])
-        buckets.append(((code[own] * MIX) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64))
-    if not owners:
-        return np.zeros(len(rows) + 1, np.int64), np.zeros(0, np.int64), has
-    owner, bucket = np.concatenate(owners), np.concatenate(buckets)
-    order = np.argsort(owner, kind="stable")
-    return np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(rows)))]), bucket[order], has
+        own = doc[:m] == doc[k - 1 : k - 1 + m]
+        bucket = ((code[own] * MIX) >> np.uint64(64 - BUCKET_BITS)).astype(np.int32)
+        grams.append((np.concatenate([[0], np.cumsum(np.bincount(doc[:m][own], minlength=len(rows)))]), bucket))
+    return grams, has
 
 
 def gram_counts(docs: DataFrame) -> DataFrame:
@@ -83,13 +79,13 @@ def gram_counts(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
-        for batch in slices(batches):
-            at, buckets, _ = hashed_grams(texts(batch))
-            names = batch.column("lang").to_pylist()
+        for batch in slices(batches, most=SLICE):
+            grams, _ = hashed_grams(texts(batch))
+            names = np.array(batch.column("lang").to_pylist(), object)
             for name in set(names):
-                rows = np.repeat(np.array([n == name for n in names]), np.diff(at))
                 total.setdefault(name, np.zeros(1 << BUCKET_BITS, np.int64))
-                total[name] += np.bincount(buckets[rows], minlength=1 << BUCKET_BITS)
+                for at, buckets in grams:
+                    total[name] += np.bincount(buckets[np.repeat(names == name, np.diff(at))], minlength=1 << BUCKET_BITS)
         for name, n in total.items():
             at = np.flatnonzero(n)
             # a language without n-grams still counts as learnt
@@ -128,12 +124,14 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, log_p, log_prior = shared.value
-        for batch in slices(batches):
-            text = texts(batch)
-            at, buckets, has = hashed_grams(text)
+        for batch in slices(batches, most=SLICE):
+            grams, has = hashed_grams(texts(batch))
             if not langs:
                 has[:] = False
-            total = np.stack([sums_between(at, row[buckets].astype(np.float64)) for row in log_p]) if langs else np.zeros((1, len(has)))
+            total = np.zeros((max(1, len(langs)), len(has)))
+            for i, row in enumerate(log_p):
+                for at, buckets in grams:
+                    total[i] += sums_between(at, row[buckets].astype(np.float64))
             total = total + log_prior[:, None] if langs else total
             best = total.argmax(0)
             score = 1 / np.exp(np.maximum(total - total.max(0), -700)).sum(0)

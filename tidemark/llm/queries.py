@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import language, mixing, packing, pii, quality, simhash, toxicity
+from tidemark.llm import idfile, language, mixing, neighbours, packing, pii, quality, simhash, suffixtree, toxicity
 from tidemark.llm.batches import fold
 from tidemark.llm.tokens import tokenizer_path
 
@@ -19,6 +19,13 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op2_suffix_tree_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """log10 probability of every document under the suffix tree and the unigram base."""
+    scored = suffixtree.score(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return scored.select(
+        "doc_id", (fold("doc_id", 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
@@ -43,6 +50,16 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op6_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors found for every query vector."""
+    return neighbours.search(_table(spark, sf_dir, "embeddings"))
+
+
+def op7_ranked_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all documents, written in the binary format and read back."""
+    return idfile.round_trip(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), 2)
+
+
 def op8_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with personal data replaced by format-preserving pseudonyms."""
     return pii.pseudonymise(_table(spark, sf_dir, "documents"))
@@ -64,9 +81,12 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_mix_sources,
+        op2_suffix_tree_scoring,
         op3_simhash_near_dedup,
         op4_toxicity,
         op5_quality_rules,
+        op6_permutation_index,
+        op7_ranked_id_files,
         op8_pii_pseudonyms,
         op9_sum_of_squares_packing,
         op10_language_id,
