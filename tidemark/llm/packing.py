@@ -82,6 +82,7 @@ def pour(left: list[tuple[int, int]], capacity: int, first: int) -> tuple[dict[i
     """
     moves: dict[int, list[tuple[int, int, int, int]]] = {w: [] for _, w in left}
     rest = {w: f for f, w in left}
+    target = first
     order = [w for _, w in left]
     i, j = 0, len(order) - 1
     while i < j:
@@ -94,17 +95,25 @@ def pour(left: list[tuple[int, int]], capacity: int, first: int) -> tuple[dict[i
             i += 1
         if not rest[donor]:
             j -= 1
-    if order and i == j and rest[order[i]]:
+    if order and i == j:
+        # the last window's own ids, then what was poured in, laid out in powers of two
         last = order[i]
-        got = [(w, k) for w, cuts in moves.items() for k, c in enumerate(cuts) if c[2] == last]
-        filled = rest[last] + sum(moves[w][k][1] - moves[w][k][0] for w, k in got)
-        if filled < capacity and not got:
-            a, size = 0, rest[last]
-            for bit in reversed(range(size.bit_length())):
-                if size >> bit & 1:
-                    moves[last].append((a, a + (1 << bit), first, 0))
-                    a, first = a + (1 << bit), first + 1
-            rest[last] = 0
+        content = [(last, 0, rest[last])]
+        for w, cuts in moves.items():
+            content += [(w, a, b) for a, b, t, _ in cuts if t == last]
+            moves[w] = [c for c in cuts if c[2] != last]
+        size = sum(b - a for _, a, b in content)
+        rest[last] = 0
+        room, offset = 0, 0
+        for w, a, b in content:
+            while a < b:
+                if not room:
+                    room = 1 << (size.bit_length() - 1)
+                    size -= room
+                    target, first, offset = first, first + 1, 0
+                n = min(room, b - a)
+                moves[w].append((a, a + n, target, offset))
+                a, room, offset = a + n, room - n, offset + n
     for w, size in rest.items():
         if size:
             moves[w].append((0, size, w, 0))

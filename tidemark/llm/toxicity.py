@@ -167,11 +167,10 @@ def train(text: list[str], label: list[int]) -> ToxicityModel:
     at, codes = once(at, codes)
     windows, doc = [], []
     for i in range(len(y)):
-        for a in range(at[i], max(at[i + 1] - WINDOW // 2, at[i] + 1), WINDOW):
+        for a in range(at[i], at[i + 1], WINDOW):
             a = max(at[i], min(a, at[i + 1] - WINDOW))  # the last window is whole as well
-            if a < at[i + 1]:
-                windows.append(codes[a : min(a + WINDOW, at[i + 1])])
-                doc.append(i)
+            windows.append(codes[a : min(a + WINDOW, at[i + 1])])
+            doc.append(i)
     doc = np.array(doc)
     fit = _Fit(words)
     fit.steps(windows, y[doc], RATE, FIRST_STEPS)
