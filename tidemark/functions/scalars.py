@@ -46,7 +46,8 @@ def standardise(x: Column, mean: float, std: float | None) -> Column:
 
 
 def winsorise(x: Column, limit: float = INPUT_CLIP) -> Column:
-    return F.greatest(F.least(x, dbl(limit)), dbl(-limit))
+    """Clipped to [-limit, limit]; null and NaN stay what they are."""
+    return F.when(F.isnan(x) | x.isNull(), x).otherwise(F.greatest(F.least(x, dbl(limit)), dbl(-limit)))
 
 
 def is_finite(x: Column) -> Column:

@@ -14,10 +14,13 @@ NAN = float("nan")
 
 
 def log_loss(label: Column, p: Column, eps: float = LOG_LOSS_EPS) -> Column:
-    """Aggregate: mean binary cross-entropy with p clipped to [eps, 1 - eps]."""
+    """Aggregate: mean binary cross-entropy with p clipped to [eps, 1 - eps].
+
+    Scores that are no number are left out.
+    """
     q = F.greatest(F.least(p, dbl(1 - eps)), dbl(eps))
     y = label.cast("double")
-    return F.avg(-(y * F.log(q) + (dbl(1) - y) * F.log(dbl(1) - q)))
+    return F.avg(F.when(is_finite(p), -(y * F.log(q) + (dbl(1) - y) * F.log(dbl(1) - q))))
 
 
 def score_levels(
@@ -62,7 +65,7 @@ def batch_counts(
 ) -> DataFrame:
     """Impressions, clicks, observed and predicted rate, log-loss; unlabelled rows only counted."""
     y, p = F.col(label), F.col(score)
-    seen = F.when(y.isNotNull(), p)
+    seen = F.when(y.isNotNull() & is_finite(p), p)
     return df.groupBy(*keys).agg(
         F.count(y).alias("impressions"),
         F.coalesce(F.sum(y.cast("long")), F.lit(0)).alias("clicks"),

@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import (
@@ -48,11 +48,11 @@ def scaler_row(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def scaler_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(column, mean, std) with an unusable deviation replaced by 1."""
+    """(column, mean, std) with an unusable deviation replaced by 1, the mean of no values by 0."""
     std = {c: F.when(F.col(f"std_{c}") > 0, F.col(f"std_{c}")).otherwise(F.lit(1.0)) for c in columns}
     rows = F.array(
         *[
-            F.struct(F.lit(c).alias("column"), F.col(f"mean_{c}").alias("mean"), std[c].alias("std"))
+            F.struct(F.lit(c).alias("column"), F.coalesce(f"mean_{c}", F.lit(0.0)).alias("mean"), std[c].alias("std"))
             for c in columns
         ]
     )
@@ -115,13 +115,3 @@ def normalise_like_train(
     df = apply_scaler(df, stats, std_columns)
     return apply_index_maps(df, maps, categories)
 
-
-def feature_selection(spark: SparkSession, numeric: Sequence[str]) -> DataFrame:
-    """One-row selection artifact: every numeric field selected, none excluded."""
-    names = F.array(*[F.lit(c) for c in numeric])
-    return spark.range(1).select(
-        names.alias("selected"),
-        F.array().cast("array<string>").alias("excluded"),
-        names.alias("chisq_ranking"),
-        F.create_map().cast("map<string,double>").alias("spearman_scores"),
-    )

@@ -12,23 +12,14 @@ from tidemark.session import pin
 _SLOTS = 1 << 16
 
 
-def random_sample(
-    df: DataFrame, n_rows: int, seed: int, safety_margin: float = 3.0
-) -> DataFrame:
-    """Exactly ``n_rows`` random rows (an action), or all rows if there are no more.
+def random_sample(df: DataFrame, n_rows: int, seed: int) -> DataFrame:
+    """``n_rows`` random rows (an action), or all rows if there are no more.
 
-    A Bernoulli draw thins the table to about ``safety_margin * n_rows``; its
-    random numbers are pinned, then the rows with the smallest ones stay.  No
-    file or partition is favoured, and the class rate is the table's own.
+    Every row gets a random number, which is pinned; the rows with the smallest
+    numbers stay.  No file or partition is favoured, and the class rate is the
+    table's own.
     """
-    total = df.count()
-    if n_rows >= total:
-        return df
-    fraction = min(1.0, n_rows * safety_margin / total)
-    drawn = df if fraction >= 1.0 else df.sample(False, fraction, seed)
-    pinned = pin(drawn.withColumn("_u", F.rand(seed)))
-    if fraction < 1.0 and pinned.count() < n_rows:  # an unlucky draw on a small table
-        pinned = pin(df.withColumn("_u", F.rand(seed)))
+    pinned = pin(df.withColumn("_u", F.rand(seed)))
     slotted = pinned.withColumn("_slot", F.floor(F.col("_u") * F.lit(float(_SLOTS))))
     slots = slotted.groupBy("_slot").agg(F.count("*").alias("_rows"))
     upto = Window.orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
@@ -47,9 +38,9 @@ def random_sample(
     return whole.select(*df.columns).unionByName(cut.select(*df.columns))
 
 
-def fraction_sample(df: DataFrame, fraction: float, cap: int, seed: int) -> DataFrame:
-    """Bernoulli sample, cut to ``cap`` rows without favouring early files."""
-    return random_sample(df.sample(False, fraction, seed), cap, seed)
+def fraction_sample(df: DataFrame, fraction: float, seed: int) -> DataFrame:
+    """Bernoulli sample: every row stays with the same chance."""
+    return df.sample(False, fraction, seed)
 
 
 def random_split(df: DataFrame, weights: Sequence[float] = (0.8, 0.1, 0.1), seed: int = 42):

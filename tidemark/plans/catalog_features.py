@@ -313,7 +313,7 @@ def positive_rate(spark, sf_dir):
 
 @query("A7", with_ctes(IMPRESSIONS) + "SELECT DISTINCT C2 FROM impressions WHERE C2 IS NOT NULL")
 def distinct_values(spark, sf_dir):
-    return distinct_values_of(impressions(spark, sf_dir), "C2", 10_000)
+    return distinct_values_of(impressions(spark, sf_dir), "C2")
 
 
 PROBS = [0.1, 0.25, 0.5, 0.75, 0.95]
@@ -375,7 +375,7 @@ def random_sample(spark, sf_dir):
 
 @query("O3")
 def fraction_sample(spark, sf_dir):
-    return sampling.fraction_sample(impressions(spark, sf_dir), 0.07, 500_000, 42).select(*KEYS, "label")
+    return sampling.fraction_sample(impressions(spark, sf_dir), 0.07, 42).select(*KEYS, "label")
 
 
 @query("O2", "SELECT count(*) AS n_rows FROM lineitem")

@@ -171,11 +171,13 @@ def drift_summary(spark, sf_dir):
     return rounds(drift.summarize(drift_of(spark, sf_dir), ["batch_id"]), "max_psi", "min_coverage")
 
 
-@query("U4", with_ctes(*DRIFT_CTES) + "SELECT field, " + ", ".join(
-    f'{r6(f"max(psi) FILTER (WHERE batch_id = {b})")} AS "{b}"' for b in range(7)) + " FROM drift GROUP BY field")
+@query("U4", with_ctes(*DRIFT_CTES) + f"SELECT field, batch_id, {r6('psi')} AS psi FROM drift")
 def drift_matrix(spark, sf_dir):
-    out = monitoring.drift_matrix(drift_of(spark, sf_dir), range(7))
-    return out.select("field", *[rounded(F.col(str(b))).alias(str(b)) for b in range(7)])
+    """The matrix over whatever batches there are, unfolded again to compare its cells."""
+    out = monitoring.drift_matrix(drift_of(spark, sf_dir))
+    cells = F.explode(F.map_entries(F.create_map(*[x for c in out.columns[1:] for x in (F.lit(int(c)), F.col(f"`{c}`"))])))
+    return out.select("field", cells.alias("cell")).select(
+        "field", F.col("cell.key").cast("bigint").alias("batch_id"), rounded(F.col("cell.value")).alias("psi"))
 
 
 # ── monitoring rules ────────────────────────────────────────────────────────

@@ -18,6 +18,7 @@ def read_delimited(spark: SparkSession, path: str, schema: T.StructType | None =
     return (
         spark.read.schema(schema or raw_schema())
         .option("sep", "\t")
+        .option("quote", "")  # hashes may hold quotes
         .option("mode", "PERMISSIVE")
         .csv(path)
     )

@@ -11,14 +11,16 @@ from tidemark.sources.schemas import NATURAL_KEY
 
 
 def latest_per_key(df: DataFrame, key: Sequence[str], order: str) -> DataFrame:
-    """One row per key: the one with the greatest ``order`` value.
+    """One row per key: the one with the greatest ``order`` value; null comes before all.
 
-    ``max_by`` merges map-side, so a key repeated many times stays cheap.
+    Ties go to the greatest other values.  The maximum merges map-side, so a key
+    repeated many times stays cheap.
     """
     rest = [c for c in df.columns if c not in key]
+    place = F.struct(F.col(order).isNotNull(), F.col(order), *[F.col(c) for c in rest if c != order])
     return (
         df.groupBy(*key)
-        .agg(F.max_by(F.struct(*rest), F.col(order)).alias("_row"))
+        .agg(F.max_by(F.struct(*rest), place).alias("_row"))
         .select(*key, *[F.col("_row")[c].alias(c) for c in rest])
     )
 
@@ -33,11 +35,10 @@ def upsert(
 
     A null in ``new`` means "not given" and leaves the stored value alone.
     Columns present on one side only are kept.  Rows of ``new`` that share a
-    key are reduced to the last one by ``order`` first; without ``order`` the
-    caller vouches for unique keys.
+    key are reduced to the last one by ``order`` first; without ``order`` to the
+    one with the greatest values.
     """
-    if order is not None:
-        new = latest_per_key(new, key, order)
+    new = latest_per_key(new, key, order or next(c for c in [*new.columns, None] if c not in key)) if set(new.columns) - set(key) else new.distinct()
     columns = existing.columns + [c for c in new.columns if c not in existing.columns]
     old, fresh = existing.alias("old"), new.alias("new")
     on = [F.col(f"old.{k}").eqNullSafe(F.col(f"new.{k}")) for k in key]
@@ -69,7 +70,7 @@ def upsert_table(
     if spark.catalog.tableExists(table):
         merged = upsert(spark.read.table(table), new, key, order)
     else:
-        merged = latest_per_key(new, key, order) if order else new
+        merged = upsert(new.limit(0), new, key, order)
     merged.write.mode("overwrite").format("parquet").saveAsTable(staged)
     spark.sql(f"DROP TABLE IF EXISTS {table}")
     spark.sql(f"ALTER TABLE {staged} RENAME TO {table}")
