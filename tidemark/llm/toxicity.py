@@ -32,7 +32,7 @@ WINDOW = 16
 #: A shorter text counts as filled up with words of no weight.
 LEAST_WORDS = 4
 #: Labelled rows of each class the classifier is fitted on, at most.
-MAX_TRAIN_PER_CLASS = 3000
+MAX_TRAIN_PER_CLASS = 1500
 EMPTY_LOGIT = -6.0
 RATE, FIRST_STEPS, ROUNDS, ROUND_STEPS = 0.2, 200, 6, 80
 
@@ -106,9 +106,12 @@ class _Fit:
     def __init__(self, words: pa.Array, seed: int = 7):
         rng = np.random.default_rng(seed)
         self.rng = rng
-        w, b = subwords(words)
-        order = np.argsort(w, kind="stable")
-        self.sub, self.count = b[order], np.bincount(w, minlength=len(words))
+        parts, counts = [], []
+        for a in range(0, len(words), 20_000):
+            w, b = subwords(words.slice(a, 20_000))
+            parts.append(b[np.argsort(w, kind="stable")].astype(np.int32))
+            counts.append(np.bincount(w, minlength=min(20_000, len(words) - a)))
+        self.sub, self.count = np.concatenate(parts), np.concatenate(counts)
         self.at = np.concatenate([[0], np.cumsum(self.count)])
         self.table = rng.normal(0, 0.1, (BUCKETS, DIM))
         self.weights = rng.normal(0, 0.5, (DIM, 2))
@@ -144,12 +147,13 @@ class _Fit:
             total += g * g
             value -= rate * g / np.sqrt(total)
 
-    def steps(self, windows: list[np.ndarray], y: np.ndarray, rate: float, steps: int, batch: int = 512) -> None:
+    def steps(self, codes: np.ndarray, start: np.ndarray, stop: np.ndarray, chosen: np.ndarray, y: np.ndarray,
+              rate: float, steps: int, batch: int = 512) -> None:
         """Minibatches with as many windows of either class."""
         sides = [np.flatnonzero(y == v) for v in (0, 1)]
         for _ in range(steps):
             i = np.concatenate([self.rng.choice(s, batch // 2) for s in sides])
-            self.step([windows[k] for k in i], y[i], np.full(len(i), 1 / len(i)), rate)
+            self.step([codes[start[k] : stop[k]] for k in chosen[i]], y[i], np.full(len(i), 1 / len(i)), rate)
 
     def margins(self, words: int) -> np.ndarray:
         """Toxic minus clean logit of every training word."""
@@ -157,27 +161,32 @@ class _Fit:
         return np.add.reduceat(s[self.sub], self.at[:-1]) / self.count if words else np.zeros(0)
 
 
+def _constant(share: float) -> ToxicityModel:
+    return ToxicityModel(np.zeros((BUCKETS, DIM)), np.zeros((DIM, 2)), np.zeros(2), share)
+
+
 def train(text: list[str], label: list[int]) -> ToxicityModel:
     """Fit on whole labelled texts."""
     y = np.asarray(label, np.int64)
     if len(y) == 0 or y.min() == y.max():
-        zero = np.zeros((BUCKETS, DIM))
-        return ToxicityModel(zero, np.zeros((DIM, 2)), np.zeros(2), 0.5 if len(y) == 0 else float(y[0]))
+        return _constant(0.5 if len(y) == 0 else float(y[0]))
     at, codes, words = word_codes(pa.array(text, pa.large_string()))
     at, codes = once(at, codes)
-    windows, doc = [], []
-    for i in range(len(y)):
-        for a in range(at[i], at[i + 1], WINDOW):
-            a = max(at[i], min(a, at[i + 1] - WINDOW))  # the last window is whole as well
-            windows.append(codes[a : min(a + WINDOW, at[i + 1])])
-            doc.append(i)
-    doc = np.array(doc)
+    pieces = -(-np.diff(at) // WINDOW)
+    doc = np.repeat(np.arange(len(y)), pieces)
+    k = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    # a text's last window is whole as well
+    start = np.maximum(at[:-1][doc], np.minimum(at[:-1][doc] + k * WINDOW, at[1:][doc] - WINDOW))
+    stop = np.minimum(start + WINDOW, at[1:][doc])
+    if len(np.unique(y[doc])) < 2:
+        return _constant(float(y.mean()))
     fit = _Fit(words)
-    fit.steps(windows, y[doc], RATE, FIRST_STEPS)
+    every = np.arange(len(doc))
+    fit.steps(codes, start, stop, every, y[doc], RATE, FIRST_STEPS)
     offset = lambda: fit.bias[1] - fit.bias[0]
     for _ in range(ROUNDS):
-        margin = fit.margins(len(words))
-        score = np.array([margin[w].mean() for w in windows])
+        total = np.concatenate([[0.0], np.cumsum(fit.margins(len(words))[codes])])
+        score = (total[stop] - total[start]) / (stop - start)
         order = np.lexsort((-score, doc))
         top = order[np.concatenate([[True], doc[order][1:] != doc[order][:-1]])]
         # of clean documents the worst windows count as often as all others
@@ -188,7 +197,7 @@ def train(text: list[str], label: list[int]) -> ToxicityModel:
         if not len(found):
             found = top[y[doc[top]] == 1]
         chosen = np.concatenate([found, clean, np.repeat(worst, -(-len(clean) // len(worst)))])
-        fit.steps([windows[k] for k in chosen], y[doc[chosen]], RATE, ROUND_STEPS)
+        fit.steps(codes, start, stop, chosen, y[doc[chosen]], RATE, ROUND_STEPS)
     return ToxicityModel(fit.table.astype(np.float32), fit.weights, fit.bias)
 
 
