@@ -218,15 +218,19 @@ def window_scores(at: np.ndarray, margin: np.ndarray) -> np.ndarray:
 
 
 def sample_labelled(docs: DataFrame, labels: DataFrame, per_class: int = MAX_TRAIN_PER_CLASS) -> DataFrame:
-    """The bounded training sample: per class, rows outside the held-out fifth by hash order."""
+    """The bounded training sample: per class, rows outside the held-out fifth by hash order.
+
+    Ids alone are joined with their labels; texts are read by the ids chosen, at most
+    ``per_class`` of each class, which is what may be broadcast.
+    """
+    ids = docs.where(fold("doc_id", 5) > 0).select("doc_id").distinct()
     marked = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("_toxic")).where(
-        F.col("_toxic").isin(0, 1)).distinct()
-    rows = docs.where(fold("doc_id", 5) > 0).select("doc_id", "text").join(
-        marked, F.col("doc_id") == F.col("_id"))
-    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("text")]
+        F.col("_toxic").isin(0, 1)).distinct().join(ids, F.col("_id") == F.col("doc_id"), "left_semi")
     sample = None
     for value in (0, 1):
-        part = rows.where(F.col("_toxic") == value).orderBy(*order).limit(per_class)
+        chosen = marked.where(F.col("_toxic") == value).orderBy(F.xxhash64("_id"), "_id").limit(per_class)
+        rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
+        part = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(per_class)
         sample = part if sample is None else sample.unionByName(part)
     return sample.select(F.coalesce("text", F.lit("")).alias("text"), "_toxic")
 
