@@ -29,6 +29,8 @@ BUCKETS = 1 << 17
 GRAMS = (3, 4, 5, 6)
 DIM = 4
 WINDOW = 16
+#: Text bytes scored at a time: a distinct word has dozens of subwords.
+SCORE_BYTES = 2 << 20
 #: A shorter text counts as filled up with words of no weight.
 LEAST_WORDS = 4
 #: Labelled rows of each class the classifier is fitted on, at most.
@@ -249,7 +251,7 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = margins.value
-        for batch in slices(batches):
+        for batch in slices(batches, most=SCORE_BYTES):
             at, codes, words = word_codes(texts(batch))
             at, codes = once(at, codes)
             w, b = subwords(words)
