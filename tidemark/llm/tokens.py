@@ -22,7 +22,7 @@ from tidemark.llm.batches import folded, spaced
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Pieces a worker remembers in each of two generations, and the longest one kept.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 200_000
 CACHE_BYTES = 64
 #: White space of any kind before a space.
 BEFORE_SPACE = r"[\x09-\x0d\x1c-\x20\x{85}\p{Z}] "
