@@ -10,7 +10,7 @@ from tidemark.functions.formulas import OPERATORS, apply_operator, shape
 from tidemark.functions.scalars import dbl
 from tidemark.functions.splines import interval_polynomials
 from tidemark.operators import ablation, drift, encode, extraction, guards, metrics, normalise, sampling
-from tidemark.operators.ordered import exact_quantiles, previous_row, running_totals
+from tidemark.operators.ordered import exact_quantiles, in_runs, previous_row, running_totals
 from tidemark.sources import envelope
 from tidemark.sources.upsert import upsert
 
@@ -65,6 +65,21 @@ def test_running_totals_and_previous_row(spark):
         assert r.prev_m == (r.m - 1 if r.m else None)
 
 
+@pytest.mark.parametrize("start, step", [(1.7e9, 1.0), (1000.0, 1e-4)])
+def test_no_run_holds_a_large_share_of_close_values(spark, start, step):
+    """Seconds of one day, prices between 1000 and 1001."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        n = 10_000
+        df = spark.range(n).select((dbl(start) + F.col("id") * dbl(step)).alias("v"), F.lit(1).alias("m"))
+        sizes = [r["count"] for r in in_runs(df, [], "v").groupBy("_run").count().collect()]
+        assert len(sizes) >= 4 and max(sizes) < n / 2
+        wrong = running_totals(df, [], "v", ["m"]).filter(F.col("before_m") != F.round((F.col("v") - dbl(start)) / dbl(step)))
+        assert wrong.count() == 0
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_auc_against_brute_force(spark):
     rng = np.random.default_rng(7)
     y = rng.integers(0, 2, 400)
@@ -88,9 +103,14 @@ def test_index_maps_nulls_unseen_and_both_paths(spark):
     got = {r.value: r.idx for r in maps.table.collect()}
     assert got == {"a": 0, None: 1, "b": 2, "c": 3} and maps.sizes == {"C1": 4}
     new = spark.createDataFrame([("a",), ("c",), ("zz",), (None,)], "C1 string")
-    for limit in (100, 1):
-        out = {r.C1: r.C1_idx for r in encode.apply_index_maps(new, maps, ["C1"], broadcast_values=limit).collect()}
-        assert out == {"a": 0, "c": 3, "zz": 4, None: 4}
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        for limit in (before, "-1"):
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+            applied = encode.apply_index_maps(new, maps, ["C1"])
+            assert {r.C1: r.C1_idx for r in applied.collect()} == {"a": 0, "c": 3, "zz": 4, None: 4}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
 def test_scaler_constant_column(spark):

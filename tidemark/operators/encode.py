@@ -9,10 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.ordered import global_row_number
-from tidemark.session import pin
-
-# A map part is broadcast only up to this many values; the rest is joined by shuffle.
-BROADCAST_VALUES = 200_000
+from tidemark.session import pin, scratch_path
 
 
 @dataclass(frozen=True)
@@ -59,13 +56,14 @@ def map_sizes(table: DataFrame) -> DataFrame:
 def build_index_maps(
     df: DataFrame, columns: Sequence[str], null_rank: bool = True
 ) -> IndexMaps:
-    """Fit the maps of all columns on the training rows (an action).
+    """Fit the maps of all columns on the training rows (an action), written once by column.
 
     A null group takes a rank by default, although it never matches the join:
     nulls and unseen values both end at the column's size.
     """
-    table = rank_categories(category_counts(df, columns, null_rank))
-    return index_maps_from(table, columns)
+    path = scratch_path(df.sparkSession, "index-maps")
+    save_index_maps(IndexMaps(rank_categories(category_counts(df, columns, null_rank)), {}), path)
+    return load_index_maps(df.sparkSession, path, columns)
 
 
 def index_maps_from(table: DataFrame, columns: Sequence[str]) -> IndexMaps:
@@ -80,7 +78,8 @@ def save_index_maps(maps: IndexMaps, path: str) -> None:
 
 
 def load_index_maps(spark: SparkSession, path: str, columns: Sequence[str]) -> IndexMaps:
-    return index_maps_from(spark.read.parquet(path), columns)
+    table = spark.read.schema("value string, idx bigint, column string").parquet(path)
+    return index_maps_from(table.select("column", "value", "idx"), columns)
 
 
 def union_of_maps(maps: dict[str, DataFrame]) -> DataFrame:
@@ -96,35 +95,13 @@ def union_of_maps(maps: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def _apply_one(df: DataFrame, maps: IndexMaps, column: str, broadcast_values: int) -> DataFrame:
-    size = maps.sizes[column]
+def _apply_one(df: DataFrame, maps: IndexMaps, column: str) -> DataFrame:
+    """One left join, whatever the map's size: run-time statistics choose between a
+    broadcast and a shuffle, and the adaptive skew join splits a hot value, be it in
+    the map, unseen or null."""
     idx = f"{column}_idx"
-    mapping = maps.slice(column)
-    missing = F.lit(size)
-    if size <= broadcast_values:
-        joined = df.join(F.broadcast(mapping), column, "left")
-        return joined.withColumn(idx, F.coalesce(F.col(idx), missing).cast("int"))
-    # Ranks follow frequency: the head of the map is broadcast and settles most
-    # rows.  Only the rest needs the shuffled tail; settled rows get a null key
-    # and a salt, so that they spread evenly instead of meeting in one task.
-    head = F.broadcast(mapping.filter(F.col(idx) < broadcast_values))
-    tail = mapping.filter(F.col(idx) >= broadcast_values).select(
-        F.col(column).alias("_value"), F.col(idx).alias("_tail"), F.lit(0).alias("_salt")
-    )
-    first = df.join(head, column, "left")
-    settled = F.col(idx).isNotNull() | F.col(column).isNull()
-    spread = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(4096)).cast("int")
-    keyed = first.withColumns(
-        {
-            "_value": F.when(~settled, F.col(column)),
-            "_salt": F.when(settled, spread + F.lit(1)).otherwise(F.lit(0)),
-        }
-    )
-    return (
-        keyed.join(tail, ["_value", "_salt"], "left")
-        .withColumn(idx, F.coalesce(F.col(idx), F.col("_tail"), missing).cast("int"))
-        .drop("_value", "_salt", "_tail")
-    )
+    joined = df.join(maps.slice(column), column, "left")
+    return joined.withColumn(idx, F.coalesce(F.col(idx), F.lit(maps.sizes[column])).cast("int"))
 
 
 def apply_index_maps(
@@ -133,7 +110,6 @@ def apply_index_maps(
     columns: Sequence[str],
     chunk: int = 6,
     materialize: Callable[[DataFrame, int], DataFrame] | None = None,
-    broadcast_values: int = BROADCAST_VALUES,
 ) -> DataFrame:
     """Adds ``<c>_idx``; unseen values and nulls get the column's size.
 
@@ -143,7 +119,7 @@ def apply_index_maps(
     source = df.columns
     for i in range(0, len(columns), chunk):
         for c in columns[i : i + chunk]:
-            df = _apply_one(df, maps, c, broadcast_values)
+            df = _apply_one(df, maps, c)
         if materialize is not None:
             df = materialize(df, i)
     return df.select(*source, *[f"{c}_idx" for c in columns])

@@ -1,10 +1,11 @@
 """Order-based operators that never sort a whole group in one task.
 
-A running sum, an order statistic or a "previous row" normally needs one sorted
-window per group; one hot group then lands on one task.  Here every group is
-first cut by an order-preserving bucket of the ordering value.  Sorting happens
-inside (group, bucket), and only one small row per bucket is carried across.
-Results are exact - the bucket size changes balance, never values.
+A running sum or a "previous row" normally needs one sorted window per group; one
+hot group then lands on one task.  Here the rows are range-partitioned by group and
+order first, which cuts any distribution into runs of like size: sorting happens
+inside (group, run), and one small row per (group, run) is carried across.  There
+are no more of those than runs plus groups.  Order statistics count coarse buckets
+first and order only the few buckets that hold a wanted position.
 """
 
 from __future__ import annotations
@@ -17,12 +18,11 @@ from pyspark.sql import functions as F
 from tidemark.functions.scalars import dbl, finite_or_null
 from tidemark.session import pin
 
-FINE = 16
 COARSE = 10
 _SPREAD = float(1 << 20)
 
 
-def order_bucket(x: Column, bits: int = FINE) -> Column:
+def order_bucket(x: Column, bits: int = COARSE) -> Column:
     """Integer that never decreases as x grows, about 2**bits steps per factor e.
 
     Every step (abs, log1p, multiply, floor) is monotone in floating point, so
@@ -32,6 +32,17 @@ def order_bucket(x: Column, bits: int = FINE) -> Column:
     return F.floor(scaled)
 
 
+def in_runs(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    """Adds ``_run``, which never decreases along (keys, order); an action.
+
+    The borders are sampled from the rows themselves, so values that lie close
+    together are cut like any others.  Pinned, because another evaluation could
+    sample other borders.
+    """
+    dealt = df.repartitionByRange(*keys, order)
+    return pin(dealt.withColumn("_run", F.spark_partition_id()))
+
+
 def running_totals(
     df: DataFrame, keys: Sequence[str], order: str, measures: Sequence[str]
 ) -> DataFrame:
@@ -41,22 +52,22 @@ def running_totals(
     that a hot value is a single row here.
     """
     keys = list(keys)
-    cut = df.withColumn("_bucket", order_bucket(F.col(order)))
-    per_bucket = cut.groupBy(*keys, "_bucket").agg(*[F.sum(m).alias(f"_in_{m}") for m in measures])
+    cut = in_runs(df, keys, order)
+    per_run = cut.groupBy(*keys, "_run").agg(*[F.sum(m).alias(f"_in_{m}") for m in measures])
     group = Window.partitionBy(*keys)
-    earlier = group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_bucket.select(
+    earlier = group.orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_run.select(
         *keys,
-        "_bucket",
+        "_run",
         *[F.coalesce(F.sum(f"_in_{m}").over(earlier), F.lit(0)).alias(f"_off_{m}") for m in measures],
         *[F.sum(f"_in_{m}").over(group).alias(f"total_{m}") for m in measures],
     )
     local = (
-        Window.partitionBy(*keys, "_bucket")
+        Window.partitionBy(*keys, "_run")
         .orderBy(order)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    return cut.join(offsets, [*keys, "_bucket"]).select(
+    return cut.join(offsets, [*keys, "_run"]).select(
         *df.columns,
         *[
             (F.col(f"_off_{m}") + F.coalesce(F.sum(m).over(local), F.lit(0))).alias(f"before_{m}")
@@ -67,7 +78,7 @@ def running_totals(
 
 
 def previous_row(
-    df: DataFrame, keys: Sequence[str], order: str, columns: Sequence[str], bits: int = COARSE
+    df: DataFrame, keys: Sequence[str], order: str, columns: Sequence[str]
 ) -> DataFrame:
     """Adds ``prev_c``: the value in the row before, by ``order`` within the keys.
 
@@ -75,16 +86,16 @@ def previous_row(
     """
     keys = list(keys)
     row = F.struct(*columns)
-    cut = df.withColumn("_bucket", order_bucket(F.col(order), bits))
-    last = cut.groupBy(*keys, "_bucket").agg(F.max_by(row, F.col(order)).alias("_last"))
+    cut = in_runs(df, keys, order)
+    last = cut.groupBy(*keys, "_run").agg(F.max_by(row, F.col(order)).alias("_last"))
     carried = last.select(
         *keys,
-        "_bucket",
-        F.lag("_last").over(Window.partitionBy(*keys).orderBy("_bucket")).alias("_carried"),
+        "_run",
+        F.lag("_last").over(Window.partitionBy(*keys).orderBy("_run")).alias("_carried"),
     )
-    local = Window.partitionBy(*keys, "_bucket").orderBy(order)
+    local = Window.partitionBy(*keys, "_run").orderBy(order)
     return (
-        cut.join(carried, [*keys, "_bucket"])
+        cut.join(carried, [*keys, "_run"])
         .withColumn("_before", F.coalesce(F.lag(row).over(local), F.col("_carried")))
         .select(*df.columns, *[F.col("_before")[c].alias(f"prev_{c}") for c in columns])
     )
@@ -118,15 +129,16 @@ def exact_quantiles(
     Columns: ``n``, ``min_value``, ``max_value`` and ``quantiles`` (array in the
     order of ``probs``); only finite values count.
 
-    Pass 1 counts rows per coarse bucket (a few thousand rows per field).  The
-    buckets holding a wanted position are few - at most two per quantile - and
-    only their rows take part in pass 2, which orders them exactly.  A value
-    that repeats is one counted row before anything is ordered.  Without keys
-    pass 1 runs at once (an action); with keys the whole result is lazy.
+    The columns needed are pinned once.  Pass 1 counts rows per coarse bucket (a
+    few thousand rows per field).  The buckets holding a wanted position are few -
+    at most two per quantile - and only their rows take part in pass 2, which
+    orders them exactly.  A value that repeats is one counted row before anything
+    is ordered.
     """
     keys = list(keys)
     by = [*keys, "field"]
-    long = unpivot(df, fields, keys).withColumn("coarse", order_bucket(F.col("value"), COARSE))
+    narrow = pin(df.select(*dict.fromkeys([*keys, *fields])))
+    long = unpivot(narrow, fields, keys).withColumn("coarse", order_bucket(F.col("value"), COARSE))
     histogram = long.groupBy(*by, "coarse").agg(
         F.count("*").alias("rows"), F.min("value").alias("low"), F.max("value").alias("high")
     )
@@ -147,16 +159,8 @@ def exact_quantiles(
         first, last = F.col("rows_before"), F.col("rows_before") + F.col("rows") - F.lit(1)
         wanted = wanted | ((low <= last) & (high >= first))
     needed = placed.filter(wanted).drop("rows")
-    if not keys:
-        # at most 2 * len(probs) * len(fields) rows: a constant of pass 2
-        found = needed.collect()
-        needed = F.broadcast(df.sparkSession.createDataFrame(found, needed.schema))
     values = (
-        long.groupBy(*by, "coarse", "value")
-        .agg(F.count("*").alias("copies"))
-        .join(needed, [*by, "coarse"])
-        if keys
-        else long.join(needed, [*by, "coarse"])
+        long.join(needed, [*by, "coarse"])
         .groupBy(*by, "coarse", "value", "rows_before", "n", "min_value", "max_value")
         .agg(F.count("*").alias("copies"))
     )
@@ -209,6 +213,6 @@ def global_row_number(
         "_first",
         F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_base"),
     )
-    return placed.join(F.broadcast(base), [group, "_run"]).select(
+    return placed.join(base, [group, "_run"]).select(
         *df.columns, (F.col("_base") + F.col("_id") - F.col("_first")).alias(name)
     )

@@ -19,6 +19,7 @@ from tidemark.plans.fixtures import (
 from tidemark.plans.ingest import distinct_values as distinct_values_of
 from tidemark.plans.ingest import enrich_with_metadata, fit_artifacts
 from tidemark.plans.registry import query
+from tidemark.session import scratch_path
 
 KEYS = ["l_orderkey", "l_linenumber", "l_partkey"]
 KEYS_SQL = "l_orderkey, l_linenumber, l_partkey"
@@ -231,15 +232,37 @@ def apply_index_maps(spark, sf_dir):
 @query("C2 J1", with_ctes(IMPRESSIONS, maps_sql(), encoded_sql("impressions"))
        + f"SELECT {KEYS_SQL}, C2_idx, C3_idx FROM encoded")
 def apply_large_index_maps(spark, sf_dir):
-    """The path for maps too big to broadcast: head broadcast, tail shuffled, plan cut."""
+    """The plan cut after every column, as many or large maps need."""
     maps = encode.build_index_maps(_train(spark, sf_dir), ["C2", "C3"])
     out = encode.apply_index_maps(
-        impressions(spark, sf_dir), maps, ["C2", "C3"], chunk=1,
-        materialize=encode.materialize_to_table, broadcast_values=2,
+        impressions(spark, sf_dir), maps, ["C2", "C3"], chunk=1, materialize=encode.materialize_to_table,
     )
     return out.select(*KEYS, "C2_idx", "C3_idx")
 
 
+@query("C2 C3", with_ctes(IMPRESSIONS, maps_sql(), encoded_sql("impressions"))
+       + f"SELECT {KEYS_SQL}, " + ", ".join(f"{c}_idx" for c in CATEGORIES) + " FROM encoded")
+def index_maps_reloaded(spark, sf_dir):
+    """Maps saved to a path and loaded again, as the stream does."""
+    path = scratch_path(spark, "saved-maps")
+    encode.save_index_maps(encode.build_index_maps(_train(spark, sf_dir), CATEGORIES), path)
+    maps = encode.load_index_maps(spark, path, CATEGORIES)
+    out = encode.apply_index_maps(impressions(spark, sf_dir), maps, CATEGORIES)
+    return out.select(*KEYS, *[f"{c}_idx" for c in CATEGORIES])
+
+
+@query("C2 J1", with_ctes(
+    IMPRESSIONS, maps_sql(),
+    "hot AS (SELECT * REPLACE (CASE WHEN l_linenumber % 3 = 0 THEN C3 ELSE 'launched today' END AS C3) FROM impressions)",
+    encoded_sql("hot")) + f"SELECT {KEYS_SQL}, C3_idx FROM encoded")
+def hot_unseen_value(spark, sf_dir):
+    """Two thirds of the rows hold one value that training never saw."""
+    maps = encode.build_index_maps(_train(spark, sf_dir), ["C3"])
+    hot = impressions(spark, sf_dir).withColumn(
+        "C3", F.when(F.col("l_linenumber") % 3 == 0, F.col("C3")).otherwise("launched today"))
+    return encode.apply_index_maps(hot, maps, ["C3"]).select(*KEYS, "C3_idx")
+
+
 @query("C4", with_ctes(IMPRESSIONS, maps_sql()) + 'SELECT "column", count(*) AS n FROM maps GROUP BY "column"')
 def index_map_sizes(spark, sf_dir):
     return encode.map_sizes(encode.build_index_maps(_train(spark, sf_dir), CATEGORIES).table)
@@ -331,9 +354,9 @@ def exact_field_quantiles(spark, sf_dir):
 
 @query("A10", with_ctes(IMPRESSIONS) + " UNION ALL ".join(
     f"SELECT batch_id, '{c}' AS field, {r6(f'quantile_cont({c}, 0.5)')} AS median "
-    f"FROM impressions GROUP BY batch_id" for c in ("I3", "I7")))
+    f"FROM impressions GROUP BY batch_id" for c in NUMERIC))
 def exact_batch_medians(spark, sf_dir):
-    out = exact_quantiles(impressions(spark, sf_dir), ["I3", "I7"], [0.5], ["batch_id"])
+    out = exact_quantiles(impressions(spark, sf_dir), NUMERIC, [0.5], ["batch_id"])
     return out.select("batch_id", "field", rounded(F.col("quantiles")[0]).alias("median"))
 
 

@@ -78,7 +78,10 @@ def scoring_parity(spark, sf_dir):
 
 # ── drift ───────────────────────────────────────────────────────────────────
 
-RANGES = {"I1": (2.0, 49.0), "I4": (1000.0, 110000.0), "I6": (-900.0, 9950.0)}
+RANGES = {
+    "I1": (2.0, 49.0), "I2": (1.0, 6.0), "I3": (3.0, 48.0), "I4": (1000.0, 110000.0),
+    "I5": (0.01, 0.09), "I6": (-900.0, 9950.0), "I7": (2000.0, 300000.0),
+}
 N_BINS = 10
 
 
@@ -94,7 +97,8 @@ REFERENCE = (
         for f in DRIFT_FIELDS) + "),\n"
     f"""edges AS (SELECT field, list_sort(list_distinct(quantile_cont(v, [{_DECILES}]))) AS e FROM long
   WHERE batch_id < {fx.REFERENCE_BATCHES} GROUP BY field),
-binned AS (SELECT batch_id, l.field, len(list_filter(e, lambda q: q <= v)) AS bin FROM long l JOIN edges d ON l.field = d.field),
+binned AS (SELECT batch_id, l.field, len(list_filter(e, lambda q: q <= v)) AS bin FROM long l JOIN edges d ON l.field = d.field
+  WHERE isfinite(v)),
 bins AS (SELECT field, CAST(unnest(range(len(e) + 1)) AS BIGINT) AS bin FROM edges),
 ref_counts AS (SELECT field, bin, count(*) AS n FROM binned WHERE batch_id < {fx.REFERENCE_BATCHES} GROUP BY field, bin),
 expected AS (SELECT b.field, b.bin, coalesce(n, 0) / CAST(sum(coalesce(n, 0)) OVER (PARTITION BY b.field) AS DOUBLE) AS share

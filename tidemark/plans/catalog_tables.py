@@ -167,7 +167,7 @@ def drained(spark: SparkSession, sf_dir: str) -> Sinks:
     df = impressions(spark, sf_dir)
     train = df.filter(F.col("split") == "train")
     artifacts = fit_artifacts(train, LOG, STD, CATEGORIES)
-    reference = drift.fit_reference(artifacts.apply_numeric(train), ["I1", "I4", "I6"])
+    reference = drift.fit_reference(artifacts.apply_numeric(train), NUMERIC)
     inbox, root = scratch_path(spark, "inbox"), scratch_path(spark, "drained")
     _envelopes(df).repartition(6).write.parquet(inbox)
     job = BatchJob(artifacts, _score, reference, "linear@fixed", "parquet", Sinks(root))
@@ -206,7 +206,8 @@ def stream_metrics(spark, sf_dir):
     )
 
 
-@query("T4 T5", "SELECT field, count(*) AS n_rows FROM lineitem CROSS JOIN (VALUES ('I1'), ('I4'), ('I6')) AS f(field) GROUP BY field")
+@query("T4 T5", "SELECT field, count(*) AS n_rows FROM lineitem CROSS JOIN (VALUES "
+       + ", ".join(f"('{c}')" for c in NUMERIC) + ") AS f(field) GROUP BY field")
 def stream_drift(spark, sf_dir):
     """Rows each drift report covers, over all batches."""
     report = read_sink(spark, drained(spark, sf_dir).drift)

@@ -18,7 +18,7 @@ LOG = ["I1", "I2", "I3"]
 STD = ["I4", "I5", "I6", "I7"]
 NUMERIC = LOG + STD
 CATEGORIES = ["C1", "C2", "C3", "C4", "C5"]
-DRIFT_FIELDS = ["I1", "I4", "I6"]
+DRIFT_FIELDS = NUMERIC
 REFERENCE_BATCHES = 5
 DATASET = "clicks"
 
