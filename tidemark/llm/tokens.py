@@ -3,7 +3,8 @@
 A text is cut where the tokenizer's own pre-tokenizer always cuts (before single
 spaces, at lone line ends, before the comma or stop that closes a word), so the ids of
 the pieces joined are the ids of the text.  Distinct pieces of a slice are found by
-Arrow; only pieces not in the worker's cache go to the tokenizer, many in one run.
+Arrow and looked up in the pieces the worker met before, which are held as Arrow and
+numpy arrays of bounded size; only the others go to the tokenizer, many in one run.
 Texts in which other white space stands before a space are encoded whole.
 """
 
@@ -21,9 +22,11 @@ from tidemark.llm.batches import folded, spaced
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Pieces a worker remembers in each of two generations, and the longest one kept.
-CACHE_PIECES = 200_000
-CACHE_BYTES = 64
+#: Pieces a worker remembers, their bytes and those of their ids, and the longest one
+#: kept when the memory is full.
+MEMORY_PIECES = 600_000
+MEMORY_BYTES = 48 << 20
+SHORT_BYTES = 64
 #: White space of any kind before a space.
 BEFORE_SPACE = r"[\x09-\x0d\x1c-\x20\x{85}\p{Z}] "
 
@@ -40,6 +43,12 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _ranges(values: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """values[start[i] : start[i] + size[i]] for all i, joined."""
+    ends = np.cumsum(size)
+    return values[np.repeat(start - (ends - size), size) + np.arange(size.sum())]
+
+
 class PieceEncoder:
     """ids of texts; ``spaced`` if a piece's leading space is part of its tokens."""
 
@@ -48,8 +57,10 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.spaced = spaced
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        # pieces met before; ids[at[i]:at[i + 1]] are those of the i-th
+        self.pieces = pa.array([], pa.large_string())
+        self.ids = np.zeros(0, np.uint32)
+        self.at = np.zeros(1, np.int64)
         # ids at which a joined run of pieces can be cut apart again
         vocabulary = self.tokenizer.get_vocab()
         self.opens = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
@@ -64,10 +75,10 @@ class PieceEncoder:
     def _joined(self, atoms: list[str]) -> list[bytes]:
         """ids of atoms, encoded in runs and cut apart."""
         out = []
-        for a in range(0, len(atoms), RUN):
-            part = atoms[a : a + RUN]
-            text = "".join(part) if self.spaced else f" {MARK} ".join(part)
-            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+        parts = [atoms[a : a + RUN] for a in range(0, len(atoms), RUN)]
+        text = ["".join(part) if self.spaced else f" {MARK} ".join(part) for part in parts]
+        for part, raw in zip(parts, self._each(text)):
+            ids = np.frombuffer(raw, np.uint32)
             if self.spaced:
                 cuts = np.flatnonzero(self.opens[ids])[1:]
             else:
@@ -83,7 +94,7 @@ class PieceEncoder:
         return out
 
     def _joins(self, atom: str) -> bool:
-        if len(atom) > CACHE_BYTES or SPECIAL in atom:
+        if len(atom) > SHORT_BYTES or SPECIAL in atom:
             return False
         if self.spaced:
             return atom[0] == " " and len(atom) > 1 and len(atom.split()) == 1 and not atom[1].isspace() and not atom[-1].isspace()
@@ -105,8 +116,8 @@ class PieceEncoder:
             return [lead + stem, piece[len(stem) :]]
         return [lead + piece]
 
-    def _remembered(self, pieces: list[str], lead: str) -> tuple[np.ndarray, list[bytes]]:
-        """Number of atoms of each piece, and the ids of all atoms."""
+    def _encoded(self, pieces: list[str], lead: str) -> tuple[np.ndarray, np.ndarray]:
+        """Offsets of each piece's ids, and all ids; each distinct atom is encoded once."""
         atoms: list[str] = []
         count = np.empty(len(pieces), np.int64)
         for i, p in enumerate(pieces):
@@ -117,27 +128,41 @@ class PieceEncoder:
                 own = self._atoms(p, lead) if p or lead else []
                 atoms += own
                 count[i] = len(own)
-        out = list(map(self.young.get, atoms))
-        lack = []
-        for i in [i for i, ids in enumerate(out) if ids is None]:
-            ids = out[i] = self.old.get(atoms[i])
-            if ids is None:
-                lack.append(i)
-            else:
-                self.young[atoms[i]] = ids
-        new = dict.fromkeys(atoms[i] for i in lack)
+        ids_of = dict.fromkeys(atoms)
         joined, other = [], []
-        for x in new:
+        for x in ids_of:
             (joined if self._joins(x) else other).append(x)
-        new.update(zip(joined, self._joined(joined)))
+        ids_of.update(zip(joined, self._joined(joined)))
         for a in range(0, len(other), 20_000):
-            new.update(zip(other[a : a + 20_000], self._each(other[a : a + 20_000])))
-        for i in lack:
-            out[i] = new[atoms[i]]
-        self.young.update((k, v) for k, v in new.items() if len(k) <= CACHE_BYTES)
-        if len(self.young) > CACHE_PIECES:
-            self.old, self.young = self.young, {}
-        return count, out
+            ids_of.update(zip(other[a : a + 20_000], self._each(other[a : a + 20_000])))
+        parts = [ids_of[x] for x in atoms]
+        atom_at = np.concatenate([[0], np.cumsum([len(x) // 4 for x in parts], dtype=np.int64)])
+        return atom_at[np.concatenate([[0], np.cumsum(count)])], np.frombuffer(b"".join(parts), np.uint32)
+
+    def _places(self, pieces: pa.Array, lead: str) -> np.ndarray:
+        """Places of distinct pieces in the memory; those not met before are encoded and added."""
+        place = pc.index_in(pieces, value_set=self.pieces)
+        lack = place.is_null().to_numpy(zero_copy_only=False)
+        place = pc.fill_null(place, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        if lack.any():
+            new = pieces.filter(pa.array(lack))
+            place[lack] = len(self.pieces) + np.arange(len(new))
+            at, ids = self._encoded(new.to_pylist(), lead)
+            self.pieces = pa.concat_arrays([self.pieces, new])
+            self.at = np.concatenate([self.at, len(self.ids) + at[1:]])
+            self.ids = np.concatenate([self.ids, ids])
+        return place
+
+    def _forget(self, place: np.ndarray) -> None:
+        """Once the memory is full, keep only the short pieces at these places, half of it at most."""
+        if len(self.pieces) <= MEMORY_PIECES and self.pieces.nbytes + self.ids.nbytes <= MEMORY_BYTES:
+            return
+        short = pc.less_equal(pc.binary_length(self.pieces.take(pa.array(place))), SHORT_BYTES)
+        place = place[short.to_numpy(zero_copy_only=False)][: MEMORY_PIECES // 2]
+        size = self.at[place + 1] - self.at[place]
+        self.pieces = self.pieces.take(pa.array(place))
+        self.ids = _ranges(self.ids, self.at[place], size)
+        self.at = np.concatenate([[0], np.cumsum(size)])
 
     def encode(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Offsets of each text's ids, and all ids."""
@@ -155,22 +180,20 @@ class PieceEncoder:
         at -= at[0]
         coded = split.flatten().dictionary_encode()
         codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        pieces = coded.dictionary.to_pylist()
-        count, known = self._remembered(pieces, " " if self.spaced else "")
+        place = self._places(coded.dictionary, " " if self.spaced else "")
+        start, size, known = self.at[place], self.at[place + 1] - self.at[place], self.ids
         if self.spaced:  # a text's first piece has no space before it
             first = at[:-1][np.diff(at) > 0]
-            own = self._each([pieces[c] for c in codes[first]])
-            codes[first] = len(count) + np.arange(len(first))
-            count = np.concatenate([count, np.ones(len(first), np.int64)])
-            known += own
-        atom_ends = np.cumsum(np.fromiter(map(len, known), np.int64, len(known)) // 4)
-        flat = np.frombuffer(b"".join(known), np.uint32)
-        ends = np.concatenate([[0], atom_ends])[np.cumsum(count)]
-        size = np.diff(ends, prepend=0)  # of each piece
-        start = ends - size
+            own = self._each(coded.dictionary.take(pa.array(codes[first])).to_pylist())
+            codes[first] = len(start) + np.arange(len(first))
+            own_size = np.array([len(x) // 4 for x in own], np.int64)
+            start = np.concatenate([start, len(known) + np.cumsum(own_size) - own_size])
+            size = np.concatenate([size, own_size])
+            known = np.concatenate([known, np.frombuffer(b"".join(own), np.uint32)])
         n_ids = size[codes]
+        ids = _ranges(known, start[codes], n_ids)
+        self._forget(place)
         ends = np.cumsum(n_ids)
-        ids = flat[np.repeat(start[codes] - (ends - n_ids), n_ids) + np.arange(n_ids.sum())]
         out_at = np.concatenate([[0], ends])[at]
         if whole.any():
             rows = np.flatnonzero(whole)
