@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +32,8 @@ DIM = 4
 WINDOW = 16
 #: Text bytes scored at a time: a distinct word has dozens of subwords.
 SCORE_BYTES = 2 << 20
+#: Training words whose subwords are at hand at a time.
+TRAIN_WORDS = 20_000
 #: A shorter text counts as filled up with words of no weight.
 LEAST_WORDS = 4
 #: Labelled rows of each class the classifier is fitted on, at most.
@@ -108,13 +111,14 @@ class _Fit:
     def __init__(self, words: pa.Array, seed: int = 7):
         rng = np.random.default_rng(seed)
         self.rng = rng
-        parts, counts = [], []
-        for a in range(0, len(words), 20_000):
-            w, b = subwords(words.slice(a, 20_000))
-            parts.append(b[np.argsort(w, kind="stable")].astype(np.int32))
-            counts.append(np.bincount(w, minlength=min(20_000, len(words) - a)))
-        self.sub, self.count = np.concatenate(parts), np.concatenate(counts)
+        # a word of n bytes has n + 3 - k grams of k bytes, and itself
+        size = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.count = 1 + sum(np.maximum(size + 3 - k, 0) for k in GRAMS)
         self.at = np.concatenate([[0], np.cumsum(self.count)])
+        self.sub = np.empty(self.at[-1], np.int32)
+        for a in range(0, len(words), TRAIN_WORDS):
+            w, b = subwords(words.slice(a, TRAIN_WORDS))
+            self.sub[self.at[a] : self.at[a] + len(b)] = b[np.argsort(w, kind="stable")]
         self.table = rng.normal(0, 0.1, (BUCKETS, DIM))
         self.weights = rng.normal(0, 0.5, (DIM, 2))
         self.bias = np.zeros(2)
@@ -160,7 +164,11 @@ class _Fit:
     def margins(self, words: int) -> np.ndarray:
         """Toxic minus clean logit of every training word."""
         s = self.table @ (self.weights[:, 1] - self.weights[:, 0])
-        return np.add.reduceat(s[self.sub], self.at[:-1]) / self.count if words else np.zeros(0)
+        out = np.zeros(words)
+        for a in range(0, words, TRAIN_WORDS):
+            at = self.at[a : a + TRAIN_WORDS + 1]
+            out[a : a + TRAIN_WORDS] = np.add.reduceat(s[self.sub[at[0] : at[-1]]], at[:-1] - at[0]) / np.diff(at)
+        return out
 
 
 def _constant(share: float) -> ToxicityModel:
