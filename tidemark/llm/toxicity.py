@@ -31,7 +31,7 @@ GRAMS = (3, 4, 5, 6)
 DIM = 4
 WINDOW = 16
 #: Text bytes scored at a time: a distinct word has dozens of subwords.
-SCORE_BYTES = 2 << 20
+SCORE_BYTES = 1 << 20
 #: Training words whose subwords are at hand at a time.
 TRAIN_WORDS = 20_000
 #: A shorter text counts as filled up with words of no weight.
