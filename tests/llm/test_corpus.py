@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import components, idfile, mixing, neighbours, packing, simhash, suffixtree
+from tidemark.llm import components, idfile, mixing, nearcopies, neighbours, packing, simhash, suffixtree
 from tidemark.llm.queries import ORACLE_SQL, QUERIES
 from tidemark.llm.tokens import PieceEncoder, tokenizer_path
 from tests.compare import compare, duck
@@ -341,6 +341,45 @@ def test_held_out_accuracy(spark, sf_dir):
     assert rows.s > rows.b
 
 
+def five_words(text):
+    words = text.lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def test_near_dedup_stage_drops_copies_from_similarity_08(spark):
+    rng = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    base, near = [], []
+    for k in range(120):
+        words = [rng.choice(vocabulary) for _ in range(200)]
+        base.append(" ".join(words))
+        for i in rng.sample(range(5, 195), 1 + k % 4):
+            words[i] = rng.choice(vocabulary)
+        near.append(" ".join(words))
+    # a crowded chain: every text is a near copy of the one before, not of the first
+    chain = [[rng.choice(vocabulary) for _ in range(200)]]
+    for k in range(150):
+        chain.append(chain[-1][:])
+        chain[-1][rng.randrange(200)] = f"c{k}"
+    texts = base + near + [" ".join(c) for c in chain] + ["a b", "A b", "a c", "", " "]
+    docs = odd(spark, texts)
+    data = [(r.doc_id, r.text) for r in docs.collect()]
+    sets = [five_words(t or "") for _, t in data]
+    group = list(range(len(data)))
+    for i in range(len(data)):
+        for j in range(i):
+            same = len(sets[i] & sets[j])
+            if group[i] != group[j] and (sets[i] == sets[j] or same >= 0.8 * (len(sets[i]) + len(sets[j]) - same)):
+                group = [group[j] if g == group[i] else g for g in group]
+    least = {}
+    for (d, _), g in zip(data, group):
+        least[g] = min([x for x in (least.get(g), d) if x is not None], default=None)
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert Counter(r.doc_id for r in kept.collect()) == Counter(least.values())
+    assert corpus_pipeline.drop_near_duplicates(spark, docs.limit(0), "").count() == 0
+
+
 def test_pipeline(spark, tmp_path):
     clean = "the river runs past old stone houses and green fields where people walk every quiet morning".split()
     rng = random.Random(8)
