@@ -127,6 +127,27 @@ def test_pii_keeps_formats_and_links(spark):
     assert pii.pseudonymise(docs, key="other").where("doc_id = 0 and pii_found > 0").first().text != a.text
 
 
+def test_pii_beside_other_digits_and_capitals(spark):
+    alone = ["4111 1111 1111 1111", "4111111111111111", "4539148803436467", "BE68539007547034", "AT611904300234573201",
+             "ES91 2100 0418 4502 0005 1332", "+44 20 7946 0958", "4539 148803 436467"]
+    beside = [
+        (0, "{} 12/26"), (1, "{} 123"), (2, "12 {}"), (2, "{} 50"), (0, "1234 {}"), (0, "{} 2024-01-02 219-09-9999"),
+        (2, "2024 {} 4111111111111112"), (3, "{} 2024"), (4, "{} IS"), (5, "{} EUR"), (5, "REF AB12 {} EUR PAID IN 2024"),
+        (4, "AT12 {} BE12"), (6, "{} 2024"), (6, "{} 2024 1234 5678"), (7, "{} 12"), (3, "4539148803436467 {} 4111111111111111"),
+    ]
+    texts = alone + [t.format(alone[k]) for k, t in beside]
+    rows = pii.pseudonymise(table(spark, odd_rows(*texts))).where("doc_id is not null and text <> ''").orderBy("doc_id").collect()
+    got = [r.text for r in rows]
+    new = got[: len(alone)]
+    assert all(a != b for a, b in zip(alone, new))
+    for (k, t), text in zip(beside, got[len(alone) :]):
+        assert new[k] in text and alone[k] not in text, (t, text)
+    assert got[len(alone)] == f"{new[0]} 12/26" and got[len(alone) + 10] == f"REF AB12 {new[5]} EUR PAID IN 2024"
+    many = got[len(alone) + 5]
+    assert "2024-01-02" not in many and "219-09-9999" not in many
+    assert new[2] in got[-1] and new[1] in got[-1] and rows[-1].pii_found == 3
+
+
 def test_feistel_is_a_permutation(spark):
     pairs = spark.range(17 * 40).select(pii.feistel_pair(F.col("id") % 17, 17, F.floor(F.col("id") / 17), 40, "k", "t").alias("p"))
     got = {(r.p.a, r.p.b) for r in pairs.collect()}

@@ -1,7 +1,9 @@
 """Format-preserving pseudonyms for personal data, in DataFrame functions only.
 
-One pattern finds candidates; each is validated (Luhn, mod 97, octets, calendar,
+Patterns find candidates; each is validated (Luhn, mod 97, octets, calendar,
 number plans) and then permuted inside its own format by a keyed Feistel network.
+Card and account numbers are looked for from every place where one may begin, at every
+length it may have, because other digits or capital words may stand beside them.
 The permutation depends on key and kind alone, so a value gets the same pseudonym in
 every document and different values stay different.
 
@@ -10,6 +12,9 @@ every document and different values stay different.
 * Strings are halves of characters; each round shifts every digit and letter of one
   half within its own class by a keyed function of the other half.
 
+* Numbers abroad have no known length: each digit is shifted by a keyed function of the
+  digits before it, so digits that follow a number do not change its pseudonym.
+
 Kept: separators, letter case, a card's first digit, a mail address's domain, an
 account's country.  Recomputed: check digits.  Left as it is: what fails validation.
 
@@ -19,6 +24,8 @@ Defined results: a null text stays null with zero replacements; columns named
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,14 +37,29 @@ FIRST_DAY, DAYS = "1900-01-01", (17, 4297)
 PATTERNS = {
     "mail": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "secret": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|(?<=(?:password|passwd|secret|token|api_key)[ ]?[=:][ ]?[\"']?)[A-Za-z0-9]{8,}",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "address": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
     "date": r"(?<![0-9/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9/]|[.-][0-9])",
     "social": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])",
-    "phone": r"(?<![0-9A-Za-z])(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z]|-[0-9])|\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![0-9A-Za-z])",
+    "phone": r"(?<![0-9A-Za-z])(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z]|-[0-9])|\+[0-9](?:[ .-]?[0-9]){7,14}(?![0-9A-Za-z])",
     "card": r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])",
 }
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+END = "(?![0-9A-Za-z])"
+#: From each place where a number may begin, its longest text and one character more.
+CARD_FROM = r"(?<![0-9A-Za-z+])(?<!\+[0-9]{1,3}[ -])(?=([0-9](?:[ -]?[0-9]){12,18}[0-9A-Za-z]?))"
+IBAN_FROM = r"(?<![0-9A-Za-z])(?=([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}[0-9A-Za-z]?))"
+#: Groups that card numbers are written in, tried before any others.
+CARD_GROUPS = [r"[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}\1[0-9]{3}", r"[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}",
+               r"[0-9]{4}([ -])[0-9]{6}\1[0-9]{4,5}", r"[0-9]{13,19}"]
+#: Other groups, of three digits or more, longest first.
+CARD_OTHERS = [rf"[0-9](?:[ -]?[0-9]){{{n - 1}}}" for n in range(19, 12, -1)]
+CARD_SHAPE = "^[0-9]{3,}(?:[ -][0-9]{3,})*$"
+#: Length of account numbers by country; others are taken in groups of four.
+IBAN_LENGTHS = dict(re.findall("([A-Z]{2})([0-9]{2})", """
+    AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24
+    FI18 FK18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HN28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32
+    LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24
+    RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30"""))
+IBAN_GROUPS = "^[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?$"
 
 
 def _int(c: Column) -> Column:
@@ -208,7 +230,9 @@ def _phone(m: Column, key: str) -> Column:
         return (F.length(d).isin(10, 11)) & n.rlike("^[2-9][0-9]{2}[2-9]") & ((F.length(d) == 10) | d.startswith("1"))
 
     def abroad(d: Column) -> Column:
-        return refill(m, F.concat(F.substr(d, F.lit(1), F.lit(2)), feistel_text(F.substr(d, F.lit(3)), key, "phone")))
+        def one(c: Column, i: Column) -> Column:
+            return F.pmod(_int(c) + _keyed(key, "phone", i, F.substr(d, F.lit(1), i + 2)), F.lit(10)).cast("string")
+        return refill(m, F.concat(F.substr(d, F.lit(1), F.lit(2)), F.array_join(F.transform(F.split(F.substr(d, F.lit(3)), ""), one), "")))
 
     return _with(_digits(m), lambda d: F.when(valid(d), american(d))
                  .when(m.startswith("+") & ~m.startswith("+1") & F.length(d).between(8, 15), abroad(d)).otherwise(m))
@@ -223,21 +247,73 @@ def _secret(m: Column, key: str) -> Column:
         feistel_text(m, key, "secret"))
 
 
-def pseudonym(m: Column, key: str) -> Column:
-    """The pseudonym of one match of ``ANY``."""
-    def whole(p: str) -> Column:
-        return m.rlike(f"^(?:{p})$")
+#: What replaces a match of each pattern.
+NEW = {"mail": _mail, "secret": _secret, "address": _address, "date": _date, "social": _social, "phone": _phone, "card": _card}
+
+
+def pseudonym(m: Column, key: str, names: list[str]) -> Column:
+    """The pseudonym of one match of the named ``PATTERNS``, the last one taken without a look."""
+    out = NEW[names[-1]](m, key)
+    for n in reversed(names[:-1]):
+        out = F.when(m.contains("@") if n == "mail" else m.rlike(f"^(?:{PATTERNS[n]})$"), NEW[n](m, key)).otherwise(out)
+    return out
+
+
+def _piece(text: Column, new: Column | None = None) -> Column:
+    return F.struct(text.alias("t"), (F.lit(None).cast("string") if new is None else new).alias("new"))
+
+
+def _cut(pieces: Column, body) -> Column:
+    """``pieces`` with ``body`` run over the text of those without a pseudonym."""
+    return F.flatten(F.transform(pieces, lambda p: F.when(p["new"].isNull(), body(p["t"])).otherwise(F.array(p))))
+
+
+def _by_pattern(names: list[str], key: str):
+    """Cut a text at all matches of some of ``PATTERNS``; what fails validation gets no pseudonym."""
+    any_of = "|".join(f"(?:{PATTERNS[n]})" for n in names)
+
+    def body(t: Column) -> Column:
+        found = F.transform(F.regexp_extract_all(t, F.lit(any_of), F.lit(0)),
+                            lambda m: _with(pseudonym(m, key, names), lambda new: _piece(m, F.when(new != m, new))))
+        pairs = F.zip_with(F.split(t, any_of, -1), found, lambda a, b: F.filter(F.array(_piece(a), b), lambda p: p.isNotNull()))
+        return F.when(t.rlike(any_of), F.flatten(pairs)).otherwise(F.array(_piece(t)))
+
+    return body
+
+
+def _by_value(begins: str, valid, new):
+    """Cut a text at the first valid span from each place where ``begins`` finds one."""
+    def split(state: Column, v: Column) -> Column:
+        at = F.concat(F.lit(r"(?<![0-9A-Za-z])\Q"), v["t"], F.lit(rf"\E{END}"))
+        return _cut(state, lambda t: F.flatten(F.transform(
+            F.split(t, at, -1), lambda a, i: F.when(i == 0, F.array(_piece(a))).otherwise(F.array(v, _piece(a))))))
+
+    def body(t: Column) -> Column:
+        spans = F.transform(F.regexp_extract_all(t, F.lit(begins), F.lit(1)), lambda w: F.get(valid(w), F.lit(0)))
+        values = F.transform(F.array_distinct(F.filter(spans, lambda v: v.isNotNull())), lambda v: _piece(v, new(v)))
+        return F.when(t.rlike(begins), F.aggregate(values, F.array(_piece(t)), split)).otherwise(F.array(_piece(t)))
+
+    return body
+
+
+def _card_spans(formats: list[str]):
+    def valid(w: Column) -> Column:
+        spans = F.array(*[F.regexp_substr(w, F.lit(f"^{p}{END}")) for p in formats])
+        return F.filter(spans, lambda s: s.isNotNull() & s.rlike(CARD_SHAPE) & (_luhn_sum(_digits(s)) % 10 == 0))
+
+    return valid
+
+
+def _iban_spans(w: Column) -> Column:
+    lengths = F.create_map(*[F.lit(x) for c, n in IBAN_LENGTHS.items() for x in (c, int(n))])
+    own = F.try_element_at(lengths, F.substr(w, F.lit(1), F.lit(2)))
+
+    def span(n: Column) -> Column:
+        return F.regexp_substr(w, F.concat(F.lit("^[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){"), (n - 4).cast("string"), F.lit("}" + END)))
 
-    return (
-        F.when(m.contains("@"), _mail(m, key))
-        .when(whole(PATTERNS["iban"]), _iban(m, key))
-        .when(whole(PATTERNS["address"]), _address(m, key))
-        .when(whole(PATTERNS["date"]), _date(m, key))
-        .when(whole(PATTERNS["social"]), _social(m, key))
-        .when(whole(PATTERNS["phone"]), _phone(m, key))
-        .when(whole(PATTERNS["card"]), _card(m, key))
-        .otherwise(_secret(m, key))
-    )
+    return _with(own, lambda n: F.filter(
+        F.transform(F.when(n.isNotNull(), F.array(n)).otherwise(F.sequence(F.lit(34), F.lit(15), F.lit(-1))), span),
+        lambda s: s.isNotNull() & (n.isNotNull() | s.rlike(IBAN_GROUPS)) & (_mod97(F.replace(s, F.lit(" "), F.lit(""))) == 1)))
 
 
 def pseudonymise(docs: DataFrame, key: str = "tidemark", column: str = "text") -> DataFrame:
@@ -245,12 +321,18 @@ def pseudonymise(docs: DataFrame, key: str = "tidemark", column: str = "text") -
     own = [c for c in docs.columns if c != "pii_found"]
     text = F.col(column)
     suspect = text.rlike("[0-9@]|(?:password|passwd|secret|token|api_key)[ ]?[=:]")
-    found = docs.select(*own).withColumn(
-        "_found", F.when(suspect, F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>")))
-    new = F.transform("_found", lambda m: pseudonym(m, key))
-    found = found.withColumn("_new", F.when(F.size("_found") > 0, new).otherwise(F.array().cast("array<string>")))
-    pieces = F.zip_with(F.split(text, ANY, -1), F.col("_new"), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
-    changed = F.size(F.filter(F.zip_with("_found", "_new", lambda a, b: a != b), lambda x: x))
-    out = F.when(F.size("_found") > 0, F.array_join(pieces, "")).otherwise(text)
+    steps = [
+        _by_pattern(["mail", "secret"], key),
+        _by_value(IBAN_FROM, _iban_spans, lambda v: _iban(v, key)),
+        _by_value(CARD_FROM, _card_spans(CARD_GROUPS), lambda v: _card(v, key)),
+        _by_pattern(["address", "date", "social", "phone"], key),
+        _by_value(CARD_FROM, _card_spans(CARD_OTHERS), lambda v: _card(v, key)),
+        _by_pattern(["card"], key),
+    ]
+    found = docs.select(*own).withColumn("_pieces", F.when(suspect, F.array(_piece(text))))
+    for step in steps:
+        found = found.withColumn("_pieces", _cut(F.col("_pieces"), step))
+    changed = F.size(F.filter("_pieces", lambda p: p["new"] != p["t"]))
+    out = F.when(F.col("_pieces").isNotNull(), F.array_join(F.transform("_pieces", lambda p: F.coalesce(p["new"], p["t"])), "")).otherwise(text)
     return found.select(*[out.alias(c) if c == column else F.col(c) for c in own],
-                        F.when(text.isNull(), F.lit(0)).otherwise(changed).cast("bigint").alias("pii_found"))
+                        F.when(F.col("_pieces").isNull(), F.lit(0)).otherwise(changed).cast("bigint").alias("pii_found"))
