@@ -56,3 +56,11 @@ def test_no_value_is_dropped_and_samples_are_exact(spark):
     assert sampling.random_sample(df, 15_000, seed=2).distinct().count() == 15_000
     assert sampling.random_sample(df, 30_000, seed=2).count() == 20_000
     assert 8_000 < sampling.fraction_sample(df, 0.5, seed=2).count() < 12_000
+
+
+def test_curve_export_holds_all_fields(spark, sf_dir):
+    from tidemark.plans import fixtures as fx
+    from tidemark.plans.catalog import CATALOG
+
+    rows = CATALOG["curve_export"].run(spark, sf_dir).groupBy("field_name").count().collect()
+    assert {r.field_name: r["count"] for r in rows} == {f: 2 * 2 * 60 for f in fx.DRIFT_FIELDS}

@@ -264,8 +264,7 @@ def calibrated_ranges(spark, sf_dir):
 
 
 EXPORT_SEEDS, EXPORT_DIMS, EXPORT_POINTS = (1, 2), (0, 1), 60
-#: All fields did not come through a comparison of 130 seconds.
-EXPORT_FIELDS = ["I1", "I4", "I6"]
+EXPORT_FIELDS = fx.DRIFT_FIELDS
 
 
 def export_weight(k: int, seed: int, dim: int) -> float:
