@@ -1,11 +1,24 @@
-"""Registered queries of the ten operators and their SQL twins."""
+"""Registered queries of the operators and their SQL twins."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import idfile, language, mixing, neighbours, packing, pii, quality, simhash, suffixtree, toxicity
+from tidemark.llm import (
+    fim,
+    idfile,
+    language,
+    merkle,
+    mixing,
+    neighbours,
+    packing,
+    pii,
+    quality,
+    simhash,
+    suffixtree,
+    toxicity,
+)
 from tidemark.llm.batches import fold
 from tidemark.llm.tokens import tokenizer_path
 
@@ -77,6 +90,25 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots, proof and verification of every document."""
+    return merkle.audit(_table(spark, sf_dir, "documents"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's fill-in-middle form and of the text rebuilt from it."""
+    cut = fim.transform(_table(spark, sf_dir, "documents"))
+    return cut.select(
+        "doc_id",
+        F.col("fim_units").alias("n"),
+        F.col("fim_form").alias("form"),
+        F.col("fim_prefix").alias("prefix_chars"),
+        F.col("fim_middle").alias("middle_chars"),
+        F.sha2("fim_text", 256).alias("output_sha256"),
+        F.sha2(fim.restore(F.col("fim_text"), F.col("fim_form")), 256).alias("restored_sha256"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -90,9 +122,13 @@ QUERIES = {
         op8_pii_pseudonyms,
         op9_sum_of_squares_packing,
         op10_language_id,
+        op11_merkle_manifest,
+        op13_fill_in_middle,
     )
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_mix_sources": mixing.mix_sql(),
     "op5_quality_rules": quality.judge_sql(),
+    "op11_merkle_manifest": merkle.audit_sql(),
+    "op13_fill_in_middle": fim.transform_sql(),
 }
