@@ -9,6 +9,7 @@ from tidemark.llm import (
     fim,
     idfile,
     language,
+    linecrf,
     merkle,
     mixing,
     neighbours,
@@ -95,6 +96,18 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.audit(_table(spark, sf_dir, "documents"))
 
 
+def op12_line_field_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learnt from labelled rows outside the held-out fifth."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = linecrf.fit(docs, _table(spark, sf_dir, "labels"))
+    return linecrf.score(docs, model).select(
+        "doc_id",
+        (fold("doc_id", 5) == 0).alias("held_out"),
+        F.col("quality_score").alias("score"),
+        (F.col("quality_score") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's fill-in-middle form and of the text rebuilt from it."""
     cut = fim.transform(_table(spark, sf_dir, "documents"))
@@ -123,6 +136,7 @@ QUERIES = {
         op9_sum_of_squares_packing,
         op10_language_id,
         op11_merkle_manifest,
+        op12_line_field_quality,
         op13_fill_in_middle,
     )
 }
