@@ -125,6 +125,42 @@ def apply_index_maps(
     return df.select(*source, *[f"{c}_idx" for c in columns])
 
 
+def apply_index_maps_wide(
+    df: DataFrame, maps: IndexMaps, columns: Sequence[str], row_id: str | None = None
+) -> DataFrame:
+    """As :func:`apply_index_maps`, all columns in one pass.
+
+    The cells that are not null become (row, position, value) and meet the long map in
+    one join, so the number of shuffles does not grow with the columns: cells by value,
+    then indices and rows by row.  Indices are gathered per row before the second one;
+    the adaptive skew join splits a hot value, and nulls and unseen values never get
+    that far.  ``row_id`` names a column of unique whole numbers; without one the rows are
+    pinned under generated ids.
+    """
+    rid = row_id or "_row"
+    rows = df if row_id else pin(df.withColumn(rid, F.monotonically_increasing_id()))
+    cells = F.array(
+        *[F.struct(F.lit(i).alias("_at"), F.col(c).cast("string").alias("_value")) for i, c in enumerate(columns)]
+    )
+    pairs = rows.select(F.col(rid).alias("_id"), F.inline(F.filter(cells, lambda x: x["_value"].isNotNull())))
+    names = F.array(*[F.lit(c) for c in columns])
+    place = F.array_position(names, F.col("column")).cast("int") - 1
+    long = maps.table.select(place.alias("_at"), F.col("value").alias("_value"), F.col("idx").cast("int").alias("_idx"))
+    own = F.struct(*[F.col(c) for c in rows.columns])
+    found = pairs.join(long.filter(F.col("_at") >= 0), ["_at", "_value"]).select(
+        "_id", "_at", "_idx", F.lit(None).cast(rows.select(own.alias("s")).schema["s"].dataType).alias("_own")
+    )
+    bare = rows.select(
+        F.col(rid).alias("_id"), F.lit(None).cast("int").alias("_at"), F.lit(None).cast("int").alias("_idx"), own.alias("_own")
+    )
+    picks = [F.max(F.when(F.col("_at") == i, F.col("_idx"))).alias(f"_i{i}") for i in range(len(columns))]
+    joined = found.unionByName(bare).groupBy("_id").agg(F.first("_own", ignorenulls=True).alias("_own"), *picks)
+    return joined.select(
+        *[F.col("_own")[c].alias(c) for c in df.columns],
+        *[F.coalesce(f"_i{i}", F.lit(maps.sizes[c])).cast("int").alias(f"{c}_idx") for i, c in enumerate(columns)],
+    )
+
+
 def materialize_to_table(df: DataFrame, i: int) -> DataFrame:
     """Cut the lineage with a table in the shared folder; outlives lost executors."""
     return pin(df)

@@ -58,9 +58,9 @@ NORMED = (
 )
 
 
-def maps_sql(columns: list[str] = CATEGORIES, nulls: str = "") -> str:
+def maps_sql(columns: list[str] = CATEGORIES, nulls: str = "", source: str = "impressions") -> str:
     parts = " UNION ALL ".join(
-        f"SELECT '{c}' AS \"column\", {c} AS value, count(*) AS n FROM impressions "
+        f"SELECT '{c}' AS \"column\", {c} AS value, count(*) AS n FROM {source} "
         f"WHERE split = 'train' {nulls.format(c=c)} GROUP BY {c}"
         for c in columns
     )
@@ -70,13 +70,13 @@ def maps_sql(columns: list[str] = CATEGORIES, nulls: str = "") -> str:
     )
 
 
-def encoded_sql(source: str) -> str:
+def encoded_sql(source: str, columns: list[str] = CATEGORIES) -> str:
     joins = " ".join(
-        f"LEFT JOIN maps {c}m ON {c}m.\"column\" = '{c}' AND {c}m.value = s.{c}" for c in CATEGORIES
+        f"LEFT JOIN maps {c}m ON {c}m.\"column\" = '{c}' AND {c}m.value = s.{c}" for c in columns
     )
     picks = ", ".join(
         f"CAST(coalesce({c}m.idx, (SELECT count(*) FROM maps WHERE \"column\" = '{c}')) AS INT) AS {c}_idx"
-        for c in CATEGORIES
+        for c in columns
     )
     return f"encoded AS (SELECT s.*, {picks} FROM {source} s {joins})"
 
@@ -263,6 +263,17 @@ def hot_unseen_value(spark, sf_dir):
     return encode.apply_index_maps(hot, maps, ["C3"]).select(*KEYS, "C3_idx")
 
 
+@query("C2 C1 J1", with_ctes(
+    IMPRESSIONS, fx.WIDE, maps_sql(fx.WIDE_CATEGORIES, source="wide"), encoded_sql("wide", fx.WIDE_CATEGORIES))
+    + f"SELECT {KEYS_SQL}, " + ", ".join(f"{c}_idx" for c in fx.WIDE_CATEGORIES) + " FROM encoded")
+def wide_index_maps(spark, sf_dir):
+    """13 numbers and 26 categories, every category encoded in one pass."""
+    df = fx.wide_impressions(spark, sf_dir)
+    maps = encode.build_index_maps(df.filter(F.col("split") == "train"), fx.WIDE_CATEGORIES)
+    out = encode.apply_index_maps_wide(df, maps, fx.WIDE_CATEGORIES)
+    return out.select(*KEYS, *[f"{c}_idx" for c in fx.WIDE_CATEGORIES])
+
+
 @query("C4", with_ctes(IMPRESSIONS, maps_sql()) + 'SELECT "column", count(*) AS n FROM maps GROUP BY "column"')
 def index_map_sizes(spark, sf_dir):
     return encode.map_sizes(encode.build_index_maps(_train(spark, sf_dir), CATEGORIES).table)

@@ -88,6 +88,49 @@ IMPRESSIONS = """impressions AS (
   JOIN part ON l_partkey = p_partkey JOIN customer ON o_custkey = c_custkey)"""
 
 
+WIDE_NUMERIC = NUMERIC + [f"I{k}" for k in range(8, 14)]
+WIDE_CATEGORIES = CATEGORIES + [f"C{k}" for k in range(6, 27)]
+
+
+def _wide_size(k: int) -> int:
+    """Distinct values of C6 to C26: from a few to more than there are rows at small scale."""
+    return 3 ** (1 + (k - 6) % 11) + k
+
+
+def wide_impressions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Impressions with 13 numbers and 26 categories.
+
+    Every category has nulls; C24 to C26 hold one value that training never sees in two
+    thirds of the other rows.
+    """
+    df = impressions(spark, sf_dir)
+    mixed = F.col("l_orderkey") * 31 + F.col("l_partkey") * 7 + F.col("l_linenumber")
+    numbers = [
+        F.when(F.col("l_partkey") % k != 0, F.col("I4") / dbl(k) + F.col("I2")).alias(f"I{k}") for k in range(8, 14)
+    ]
+    categories = []
+    for k in range(6, 27):
+        value = F.concat(F.lit(f"v{k}_"), ((mixed * k) % _wide_size(k)).cast("string"))
+        if k >= 24:
+            value = F.when((F.col("split") != "train") & (F.col("l_linenumber") % 3 != 0), F.lit("launched today")).otherwise(value)
+        categories.append(F.when(mixed % (k + 5) != 0, value).alias(f"C{k}"))
+    return df.select("*", *numbers, *categories)
+
+
+def _wide_sql() -> str:
+    mixed = "(l_orderkey * 31 + l_partkey * 7 + l_linenumber)"
+    cells = [f"CASE WHEN l_partkey % {k} <> 0 THEN I4 / {k}e0 + I2 END AS I{k}" for k in range(8, 14)]
+    for k in range(6, 27):
+        value = f"'v{k}_' || CAST(({mixed} * {k}) % {_wide_size(k)} AS VARCHAR)"
+        if k >= 24:
+            value = f"CASE WHEN split <> 'train' AND l_linenumber % 3 <> 0 THEN 'launched today' ELSE {value} END"
+        cells.append(f"CASE WHEN {mixed} % {k + 5} <> 0 THEN {value} END AS C{k}")
+    return f"wide AS (SELECT *, {', '.join(cells)} FROM impressions)"
+
+
+WIDE = _wide_sql()
+
+
 def curves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Curve points: mean event value per day, by seed, field and dimension."""
     events = table(spark, sf_dir, "events")
