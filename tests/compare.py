@@ -82,7 +82,7 @@ if __name__ == "__main__":
         try:
             problem = compare(spark, con, entry.queries()[name], sqls.get(name), sf)
         except Exception as e:  # noqa: BLE001
-            problem = f"{type(e).__name__}: {str(e)[:1500]}"
+            problem = f"{type(e).__name__}: {str(e)[:int(os.environ.get("ERROR_CHARS", "1500"))]}"
         failed += problem is not None
         print(f"{'FAIL' if problem else 'ok  '} {name} {time.time() - t:.1f}s {problem or ''}", flush=True)
     print(f"{len(names)} queries, {failed} failed")

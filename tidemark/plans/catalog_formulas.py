@@ -348,6 +348,25 @@ def prune_by_norm(spark, sf_dir):
     return rounds(extraction.prune_by_norm(fx.norms(spark, sf_dir)), "norm", "threshold")
 
 
+EDGE_SQL = """edges AS (SELECT CAST(label AS INT) AS seed, 'I' || CAST(vec_id % 13 AS VARCHAR) AS field_name,
+  list_sum(list_transform(embedding, lambda w: abs(CAST(w AS DOUBLE)))) AS size FROM embeddings),
+norms AS (SELECT seed, field_name, sum(size) AS norm FROM edges GROUP BY seed, field_name)"""
+
+
+@query("F3", with_ctes(EDGE_SQL) + f"""SELECT n.seed, field_name, {sql_round('norm', 'threshold')} FROM norms n
+  JOIN (SELECT seed, quantile_cont(norm, 0.2) AS threshold FROM norms GROUP BY seed) t ON n.seed = t.seed
+  WHERE norm >= threshold""")
+def prune_by_edge_norm(spark, sf_dir):
+    """Fields kept by the norms of their curves' weights: one curve per (field, dim)."""
+    weights = fx.table(spark, sf_dir, "embeddings").select(
+        F.col("label").cast("int").alias("seed"),
+        F.concat(F.lit("I"), (F.col("vec_id") % 13).cast("string")).alias("field_name"),
+        F.floor(F.col("vec_id") / 13).alias("dim"),
+        F.col("embedding").cast("array<double>").alias("weights"),
+    )
+    return rounds(extraction.prune_by_norm(curves.edge_norms(weights)), "norm", "threshold")
+
+
 STEPS = """diffs AS (SELECT seed, field_name, dim, phi - lag(phi) OVER (PARTITION BY seed, field_name, dim ORDER BY x) AS d
   FROM curves),
 steps AS (SELECT seed, field_name, dim, count(*) FILTER (WHERE d > 1e-4) AS n_up,
@@ -465,6 +484,43 @@ def substitution_ablation(spark, sf_dir):
     return rounds(out, *[c for c in out.columns if c != "n_dropped"])
 
 
+#: The score with both formulas, and with one of them.
+FIELD_SCORES = {
+    "all": "(0.08e0 * sqrt(abs(least(I1, 10e0))) - 0.1e0) * 0.9e0 + 0.02e0 + (-1.5e0 * I5 + 0.01e0) * 1.1e0 - 0.01e0",
+    "I1": "(0.08e0 * sqrt(abs(least(I1, 10e0))) - 0.1e0) * 0.9e0 + 0.02e0 - 2e0 * I5",
+    "I5": "0.01e0 * I1 + (-1.5e0 * I5 + 0.01e0) * 1.1e0 - 0.01e0",
+}
+FIELD_SQL = with_ctes(
+    IMPRESSIONS,
+    "scored AS (SELECT label, p_click AS p, " + ", ".join(
+        f"round(1e0 / (1e0 + exp(-(-0.7e0 + {x}))), 9) AS q_{f}" for f, x in FIELD_SCORES.items()) + " FROM impressions)",
+    auc_sql("p", "auc_p"), *[auc_sql(f"q_{f}", f"auc_{f}") for f in FIELD_SCORES],
+) + " UNION ALL ".join(f"""SELECT '{f}' AS field, CAST(0 AS BIGINT) AS n_dropped,
+  {r6('avg(-(label * ln(p) + (1 - label) * ln(1e0 - p)))')} AS logloss_original,
+  {r6(f'avg(-(label * ln(q_{f}) + (1 - label) * ln(1e0 - q_{f})))')} AS logloss_substituted,
+  {r6(f'sqrt(avg(pow(p - q_{f}, 2)))')} AS prediction_rmse, {r6('(SELECT v FROM auc_p)')} AS auc_original,
+  {r6(f'(SELECT v FROM auc_{f})')} AS auc_substituted,
+  {r6(f'(SELECT v FROM auc_p) - (SELECT v FROM auc_{f})')} AS delta_auc FROM scored""" for f in FIELD_SCORES)
+
+
+@query("F8 J5", FIELD_SQL)
+def ablation_by_field(spark, sf_dir):
+    """Both formulas substituted together, and each of them alone."""
+    terms = {c: dbl(0) for c in fx.NUMERIC}
+    terms.update({"I1": dbl(0.01) * F.col("I1"), "I5": dbl(-2) * F.col("I5")})
+    logit = dbl(-0.7) + terms["I1"] + terms["I5"]
+    usable = ablation.usable_formulas(FORMULAS, list(terms))
+    names = {ablation.ALL_FIELDS: usable, **{f: {f: x} for f, x in usable.items()}}
+    # scores rounded so that equal scores tie alike in both engines
+    scores = [
+        F.round(dbl(1) / (dbl(1) + F.exp(-ablation.substituted_logit(logit, terms, some))), 9).alias(f"q_{name}")
+        for name, some in names.items()
+    ]
+    df = impressions(spark, sf_dir).select("label", "p_click", *scores)
+    out = ablation.ablation_by_field(df, "label", "p_click", {name: f"q_{name}" for name in names})
+    return rounds(out, *[c for c in out.columns if c not in ("field", "n_dropped")])
+
+
 @query("F9", with_ctes(IMPRESSIONS) + f"""SELECT split,
   {r6('sqrt(avg(pow(p_click - 1e0 / (1e0 + exp(-(0.01e0 * I1 - 0.7e0 + (-2e0 * ln(abs(I5) + 1e0) + 0.05e0)))), 2)))')} AS gap_rmse
   FROM impressions GROUP BY split""")

@@ -88,6 +88,34 @@ IMPRESSIONS = """impressions AS (
   JOIN part ON l_partkey = p_partkey JOIN customer ON o_custkey = c_custkey)"""
 
 
+def clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Impressions with targets that depend on their columns.
+
+    ``clicked`` is 0 or 1, ``action`` 0, 1 or 2; a number made of the keys is held against
+    a chance that grows with I1 and falls with I5, differs by C5, and is curved in I6.
+    """
+    df = impressions(spark, sf_dir)
+    draw = ((F.col("l_orderkey") * 7919 + F.col("l_linenumber") * 104729 + F.col("l_partkey") * 31) % 10007 + dbl(0.5)) / dbl(10007)
+    logit = (
+        dbl(-2.5) + dbl(0.06) * F.col("I1") - dbl(8) * F.col("I5")
+        + F.when(F.col("C5") == "BUILDING", dbl(1.2)).otherwise(dbl(0))
+        + F.col("I6") * F.col("I6") / dbl(4e7)
+    )
+    chance = dbl(1) / (dbl(1) + F.exp(-logit))
+    return df.select(
+        "*",
+        F.when(draw < chance, 1).otherwise(0).alias("clicked"),
+        F.when(draw < dbl(0.4) * chance, 2).when(draw < chance, 1).otherwise(0).alias("action"),
+    )
+
+
+CLICKS = """clicks AS (SELECT *, CASE WHEN draw < chance THEN 1 ELSE 0 END AS clicked,
+    CASE WHEN draw < 0.4e0 * chance THEN 2 WHEN draw < chance THEN 1 ELSE 0 END AS action
+  FROM (SELECT *, ((l_orderkey * 7919 + l_linenumber * 104729 + l_partkey * 31) % 10007 + 0.5e0) / 10007e0 AS draw,
+    1e0 / (1e0 + exp(-(-2.5e0 + 0.06e0 * I1 - 8e0 * I5 + CASE WHEN C5 = 'BUILDING' THEN 1.2e0 ELSE 0e0 END + I6 * I6 / 4e7))) AS chance
+  FROM impressions))"""
+
+
 WIDE_NUMERIC = NUMERIC + [f"I{k}" for k in range(8, 14)]
 WIDE_CATEGORIES = CATEGORIES + [f"C{k}" for k in range(6, 27)]
 

@@ -34,8 +34,8 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def pin(df: DataFrame) -> DataFrame:
-    """Write to the shared folder and read back.
+def pin(df: DataFrame, *by: str) -> DataFrame:
+    """Write to the shared folder and read back; ``by`` names columns that get a folder a value.
 
     Cuts the lineage, fixes generated row ids for good, and survives lost
     executors.  A columnar table also keeps pruning and pushdown, which a
@@ -43,5 +43,5 @@ def pin(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, "pinned")
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
