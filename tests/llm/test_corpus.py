@@ -139,6 +139,32 @@ def test_id_files_round_trip(spark, monkeypatch):
     assert idfile.round_trip(docs.limit(0), tokenizer_path("word_bpe_49k.json"), 2).count() == 0
 
 
+def test_id_shards_and_runs():
+    rng = np.random.default_rng(3)
+    n = rng.integers(0, 9, 200)
+    r = rng.integers(0, 1 << 32, n.sum(), dtype=np.uint64).astype(np.uint32) >> rng.integers(0, 32, n.sum()).astype(np.uint32)
+    control_at, control, data_at, data = idfile.encode_runs(r, n)
+    assert (idfile.decode_ranks(control.tobytes(), data.tobytes(), n) == r).all()
+    at = np.concatenate([[0], np.cumsum(n)])
+    for i in range(len(n)):
+        one = idfile.encode_ranks(r[at[i] : at[i + 1]])
+        assert one == (control[control_at[i] : control_at[i + 1]].tobytes(), data[data_at[i] : data_at[i + 1]].tobytes())
+    keys = sorted((int(d), int(t)) for d, t in zip(rng.integers(0, 6, 300), rng.integers(-9, 9, 300)))
+    low = keys[20::40]
+    got = idfile.shard_of(np.array([d for d, _ in keys]), np.array([t for _, t in keys]), np.array([d for d, _ in low]), np.array([t for _, t in low]))
+    assert got.tolist() == [sum(b <= k for b in low) for k in keys]
+
+
+def test_equal_rows_are_cut_into_shards(spark, monkeypatch):
+    docs = spark.range(4000).select(F.lit(7).cast("bigint").alias("doc_id"), F.lit("the same text").alias("text"))
+    tokens = idfile.tokenised(docs.repartition(4), tokenizer_path("word_bpe_49k.json"), 2)
+    monkeypatch.setattr(idfile, "SHARD_IDS", 1000)
+    ids, ties = idfile.borders(tokens)
+    rows = tokens.select("doc_id", "tie").toPandas()
+    sizes = np.bincount(idfile.shard_of(rows["doc_id"].to_numpy(), rows["tie"].to_numpy(), ids, ties))
+    assert len(sizes) >= 12 and sizes.max() < 4000 / 4
+
+
 def test_suffix_tree(spark):
     rng = random.Random(2)
     words = ["alpha", "beta", "gamma", "delta", "eps"]

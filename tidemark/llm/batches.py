@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,26 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 6 << 20
 
 
+_HELD: list[Callable[[], None]] = []
+
+
+def held(release: Callable[[], None]) -> None:
+    """Name a function that gives back what this worker keeps from one task to the next."""
+    _HELD.append(release)
+
+
+_LIBC = ctypes.CDLL(None)
+
+
+def released() -> None:
+    """Give back what earlier stages left in a reused worker, and memory that is unused."""
+    for release in _HELD:
+        release()
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):  # where the C library keeps freed pages
+        _LIBC.malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut incoming batches where the texts reach ``most`` bytes."""
     for batch in batches:
@@ -25,6 +46,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
         cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):
             yield batch.slice(a, b - a)
+    pa.default_memory_pool().release_unused()
 
 
 def texts(batch: pa.RecordBatch, column: str = "text") -> pa.Array:

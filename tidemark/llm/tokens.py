@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from tidemark.llm.batches import folded, spaced
+from tidemark.llm.batches import folded, held, spaced
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -207,10 +207,13 @@ class PieceEncoder:
 
 @lru_cache(maxsize=4)
 def encoder(path: str, spaced: bool) -> PieceEncoder:
-    """One encoder, with its cache, for all tasks of a worker."""
+    """One encoder, with its cache, for all tasks of a worker's stage."""
     return PieceEncoder(path, spaced)
 
 
+held(encoder.cache_clear)
+
+
 def with_end(at: np.ndarray, ids: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
     """The same with one end id after each text."""
     return at + np.arange(len(at)), np.insert(ids, at[1:], end)

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.batches import fold, slices, string_bytes, sums_between, texts, word_codes
+from tidemark.llm.batches import fold, released, slices, string_bytes, sums_between, texts, word_codes
 
 BUCKETS = 1 << 17
 GRAMS = (3, 4, 5, 6)
@@ -258,6 +258,7 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     offset, prior = float(model.bias[1] - model.bias[0]), model.prior
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        released()
         table = margins.value
         for batch in slices(batches, most=SCORE_BYTES):
             at, codes, words = word_codes(texts(batch))
