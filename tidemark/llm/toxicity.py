@@ -175,13 +175,14 @@ def _constant(share: float) -> ToxicityModel:
     return ToxicityModel(np.zeros((BUCKETS, DIM)), np.zeros((DIM, 2)), np.zeros(2), share)
 
 
-def train(text: list[str], label: list[int]) -> ToxicityModel:
+def train(text: list[str] | pa.Array, label: list[int]) -> ToxicityModel:
     """Fit on whole labelled texts."""
     y = np.asarray(label, np.int64)
     if len(y) == 0 or y.min() == y.max():
         return _constant(0.5 if len(y) == 0 else float(y[0]))
-    at, codes, words = word_codes(pa.array(text, pa.large_string()))
+    at, codes, words = word_codes(text.cast(pa.large_string()) if isinstance(text, pa.Array) else pa.array(text, pa.large_string()))
     at, codes = once(at, codes)
+    released()  # what splitting the texts took
     pieces = -(-np.diff(at) // WINDOW)
     doc = np.repeat(np.arange(len(y)), pieces)
     k = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
@@ -246,8 +247,11 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, per_class: int = MAX_TRA
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = MAX_TRAIN_PER_CLASS) -> ToxicityModel:
-    rows = sample_labelled(docs, labels, per_class).collect()
-    return train([r.text for r in rows], [r._toxic for r in rows])
+    rows = sample_labelled(docs, labels, per_class).toArrow()
+    model = train(rows.column("text").combine_chunks(), rows.column("_toxic").to_pylist())
+    del rows
+    released()
+    return model
 
 
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
