@@ -401,15 +401,20 @@ def split_by_key(spark, sf_dir):
     return sampling.split_by_key(df, "l_orderkey", hashed=False).select(*KEYS, "split")
 
 
-@query("O1 O4", "SELECT CAST(least(2000, count(*)) AS BIGINT) AS n_rows FROM lineitem")
+#: A row's number in [0, 1) from its keys, as the samples draw it.
+DRAWN_SQL = ("CAST('0x' || substr(md5(concat_ws(':', '42', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR), "
+             f"CAST(l_partkey AS VARCHAR))), 1, 13) AS BIGINT) / {16**13}e0")
+
+
+@query("O1 O4", with_ctes(IMPRESSIONS) + f"SELECT {KEYS_SQL}, label FROM impressions ORDER BY {DRAWN_SQL} LIMIT 2000")
 def random_sample(spark, sf_dir):
-    sample = sampling.random_sample(impressions(spark, sf_dir), 2000, seed=42)
-    return sample.agg(F.count("*").alias("n_rows"))
+    """Exactly 2,000 rows, the same in every run."""
+    return sampling.random_sample(impressions(spark, sf_dir), 2000, 42, KEYS).select(*KEYS, "label")
 
 
-@query("O3")
+@query("O3", with_ctes(IMPRESSIONS) + f"SELECT {KEYS_SQL}, label FROM impressions WHERE {DRAWN_SQL} < 0.07e0")
 def fraction_sample(spark, sf_dir):
-    return sampling.fraction_sample(impressions(spark, sf_dir), 0.07, 42).select(*KEYS, "label")
+    return sampling.fraction_sample(impressions(spark, sf_dir), 0.07, 42, KEYS).select(*KEYS, "label")
 
 
 @query("O2", "SELECT count(*) AS n_rows FROM lineitem")

@@ -9,7 +9,7 @@ from tidemark.functions.scalars import dbl, rounded, sigmoid
 from tidemark.operators import drift
 from tidemark.operators.models import linear_logit
 from tidemark.plans import fixtures as fx
-from tidemark.plans.catalog_features import KEYS, NORMED, PREPARED, SCALER, encoded_sql, maps_sql
+from tidemark.plans.catalog_features import DRAWN_SQL, KEYS, KEYS_SQL, NORMED, PREPARED, SCALER, encoded_sql, maps_sql
 from tidemark.plans.catalog_formulas import (
     CHAIN, RESULT_NUMBERS, RESULTS, SUMMARY, results_of, rounds,
 )
@@ -78,14 +78,20 @@ def append_with_schema_merge(spark, sf_dir):
     return out.select("encoder", "test_auc", "epochs", F.col("timestamp").isNotNull().alias("is_stamped"))
 
 
-@query("S9")
+SAMPLE_SIZES = {"train": 500, "val": 100, "test": 100}
+
+
+@query("S9", with_ctes(IMPRESSIONS) + f"""SELECT {KEYS_SQL}, label, split AS split_name FROM (
+  SELECT *, row_number() OVER (PARTITION BY split ORDER BY {DRAWN_SQL}) AS n FROM impressions)
+  WHERE n <= CASE split {' '.join(f"WHEN '{s}' THEN {n}" for s, n in SAMPLE_SIZES.items())} END""")
 def export_samples(spark, sf_dir):
+    """A sample a split, written to folders and read back."""
     df = impressions(spark, sf_dir)
-    splits = {s: df.filter(F.col("split") == s) for s in ("train", "val", "test")}
-    written = tables.export_samples(splits, {"train": 500, "val": 100, "test": 100}, scratch_path(spark, "export"))
+    splits = {s: df.filter(F.col("split") == s) for s in SAMPLE_SIZES}
+    written = tables.export_samples(splits, SAMPLE_SIZES, scratch_path(spark, "export"), keys=KEYS)
     out = None
     for name, path in written.items():
-        part = spark.read.parquet(path).groupBy(F.lit(name).alias("split_name")).agg(F.count("*").alias("n_rows"))
+        part = spark.read.parquet(path).select(*KEYS, "label", F.lit(name).alias("split_name"))
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -81,13 +81,13 @@ def overwrite_batch(df: DataFrame, path: str, batch_id: int) -> None:
 
 
 def export_samples(
-    splits: dict[str, DataFrame], sizes: dict[str, int], path: str, seed: int = 42
+    splits: dict[str, DataFrame], sizes: dict[str, int], path: str, seed: int = 42, keys: Sequence[str] = ()
 ) -> dict[str, str]:
-    """One sampled parquet folder per split, written by the executors."""
+    """One sampled parquet folder per split, written by the executors; with ``keys`` always the same rows."""
     written = {}
     for name, df in splits.items():
         target = f"{path.rstrip('/')}/{name}_sample.parquet"
-        overwrite_path(random_sample(df, sizes[name], seed), target)
+        overwrite_path(random_sample(df, sizes[name], seed, keys), target)
         written[name] = target
     return written
 
