@@ -46,7 +46,25 @@ def test_mixing_rates_and_determinism(spark):
     high = mixing.mix(docs.where("doc_id < 500"), epochs=40.0).groupBy("doc_id").count().toPandas()["count"]
     assert abs(high.mean() - 40) < 15 and len(high) == 500
     assert mixing.mix(docs.limit(0)).count() == 0
-    assert mixing.mix(odd(spark, TEXTS)).where("doc_id is null").count() >= 0
+    # a null id draws like any other: once the mean is high, its text comes out
+    nulls = mixing.mix(odd(spark, TEXTS), epochs=30.0).where("doc_id is null")
+    assert nulls.count() > 0 and nulls.where("copy_no < 1").count() == 0
+
+
+def test_mixing_spreads_repeated_rows_and_keeps_clashing_names(spark):
+    rows = [(1, "same" if i % 2 else f"text {i}", "s", i, f"n{i}", "r") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, copies int, place string, _rate string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = mixing.mix(docs.repartition(4), epochs=3.0).withColumn("task", F.spark_partition_id()).toPandas()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert set(got.columns) == {*docs.columns, "copy_no", "shuffle_key", "mix_rate", "task"}
+    assert set(got["place"]) == {f"n{i}" for i in range(3000)} and set(got["_rate"]) == {"r"}
+    assert got.loc[got.text != "same", "shuffle_key"].is_unique
+    same = got[got.text == "same"].groupby("task").size()
+    tasks = got["task"].nunique()
+    assert tasks > 1 and same.max() < 1.5 * same.sum() / tasks
 
 
 def test_encoder_is_exact():
@@ -354,6 +372,28 @@ def test_recall_on_the_table(spark, sf_dir):
     assert hits / total >= 0.9
 
 
+@pytest.mark.parametrize("width, spread", [(64, 1.0), (384, 0.0), (384, 0.5)])
+def test_recall_of_a_full_shard_at_any_lengths(width, spread):
+    """One shard of independent components, lengths equal or log-normal."""
+    rng = np.random.default_rng(3)
+    n = neighbours.SHARD_ROWS
+    x = rng.normal(size=(n, width)) * rng.lognormal(0, spread, size=(n, 1))
+    pivots = x[rng.choice(n, neighbours.PIVOTS, False)]
+    pivots /= np.linalg.norm(pivots, axis=1, keepdims=True)
+    shard = neighbours.Shard(np.arange(n), x, pivots)
+    queries = np.arange(0, n, 20)[:108]
+    probes = neighbours.nearest(x[queries], pivots, neighbours.PROBES)
+    shard.calibrate(x[queries[:48]], probes[:48], 20)
+    hits = 0
+    for q, p in zip(queries[48:], probes[48:]):  # none of those it was fitted on
+        ids, _ = shard.search(x[q], p, 20, q)
+        score = x @ x[q]
+        score[q] = -np.inf
+        hits += len(set(ids) & set(np.argsort(-score)[:20]))
+    assert hits / (20 * 60) >= 0.9
+    assert spread == 0 or shard.ranked < n // 5
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_sql_twins(spark, sf_dir, name):
     assert compare(spark, duck(sf_dir), QUERIES[name], ORACLE_SQL[name], sf_dir) is None
