@@ -4,8 +4,16 @@ Pivots are a bounded sample of the vectors.  A vector is represented by its near
 pivots in order; every pivot has an inverted file of the vectors that have it among
 their first ``PREFIX`` pivots, with the place it takes there.  A query reads the files
 of its own first ``PROBES`` pivots and adds up places that agree, which ranks the
-candidates by (prefix) footrule distance; the best share of them is ranked again by
-the exact inner product.
+candidates of one length by (prefix) footrule distance.  Pivots see directions only, so
+the agreement is turned into an expected cosine by a line fitted in the shard.  Less the
+cosine that a candidate of its length needs to be a neighbour, that orders candidates of
+all lengths; the best of them are ranked again by the exact inner product.
+
+How many are ranked again is measured, not set: for ``TRIED`` queries of a block all
+candidates of the shard are ranked exactly, and as many are taken for every query as
+hold the share ``TARGET`` of those queries' true neighbours, ``RERANK_LEAST`` at least.
+Where pivots tell little, as among vectors of many independent components, that number
+rises towards all of them and the search towards an exact one.
 
 The index is cut into shards of rows, each with its own inverted files, and the query
 set into blocks; a task joins one block with one shard, so neither a hot pivot nor a
@@ -32,8 +40,11 @@ from tidemark.session import pin
 PIVOTS = 128
 PREFIX = 64
 PROBES = 64
-#: Share of a shard's candidates, and their least number, that are ranked exactly.
-RERANK_SHARE, RERANK_LEAST = 0.25, 400
+#: Least number of a shard's candidates that are ranked exactly.
+RERANK_LEAST = 400
+#: Queries of a block that are tried against all of a shard, and the share of their
+#: neighbours that the candidates ranked exactly have to hold.
+TRIED, TARGET = 48, 0.97
 SHARD_ROWS, BLOCK_QUERIES = 16_384, 1024
 
 
@@ -63,21 +74,54 @@ class Shard:
         self.ids = ids[order][by]
         self.at = np.concatenate([[0], np.cumsum(np.bincount(self.copy_of))])
         self.pivots, self.prefix = pivots, min(prefix, len(pivots))
+        self.length = np.linalg.norm(self.vectors, axis=1)
+        self.needs, self.slope, self.ranked = np.zeros(len(self.vectors)), 1.0, len(self.vectors)
         places = nearest(self.vectors, pivots, self.prefix)
         by_pivot = np.argsort(places.reshape(-1), kind="stable")
         self.members = by_pivot // self.prefix
         self.ranks = (by_pivot % self.prefix).astype(np.int32)
         self.files = np.concatenate([[0], np.cumsum(np.bincount(places.reshape(-1), minlength=len(pivots)))])
 
-    def search(self, query: np.ndarray, own_pivots: np.ndarray, k: int, skip: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the ``k`` best found, the id ``skip`` left out."""
+    def agreement(self, own_pivots: np.ndarray) -> np.ndarray:
+        """The greatest footrule of prefixes less that to a query, for each vector."""
         agree = np.zeros(len(self.vectors), np.int32)
         for place, p in enumerate(own_pivots):
             a, b = self.files[p], self.files[p + 1]
             agree[self.members[a:b]] += self.prefix - np.maximum(self.ranks[a:b], place)
-        n = min(len(agree), max(RERANK_LEAST, int(RERANK_SHARE * len(agree))))
-        # least footrule is most agreement; equal ones by the order of the vectors
-        chosen = np.arange(len(agree)) if n == len(agree) else np.argpartition(-agree.astype(np.int64) * len(agree) + np.arange(len(agree)), n - 1)[:n]
+        return agree
+
+    def calibrate(self, queries: np.ndarray, probes: np.ndarray, k: int) -> None:
+        """Fit the expected cosine and the number ranked exactly on some queries."""
+        agree = [self.agreement(p) for p in probes]
+        exact = [(self.vectors * q).sum(1) for q in queries]
+        x = np.concatenate(agree).astype(float)
+        y = np.concatenate([e / self.length / np.linalg.norm(q) for e, q in zip(exact, queries)])
+        spread = x.var()
+        self.slope = float(max(((x - x.mean()) * (y - y.mean())).mean(), 0.0) / spread) if spread > 0 else 0.0
+        # a query's k-th best inner product over its length: what a candidate has to reach
+        last = min(k, len(self.vectors)) - 1
+        reach = np.median([np.sort(e)[::-1][last] / np.linalg.norm(q) for e, q in zip(exact, queries)])
+        self.needs = reach / self.length
+        needed = []
+        for a, e in zip(agree, exact):
+            place = np.empty(len(e), np.int64)
+            place[np.argsort(-self.likely(a), kind="stable")] = np.arange(len(e))
+            # one more than k, as a query may be among the candidates itself
+            needed.append(place[np.argsort(-e, kind="stable")[: k + 1]])
+        needed = np.sort(np.concatenate(needed))
+        self.ranked = max(RERANK_LEAST, int(needed[int(np.ceil(TARGET * len(needed))) - 1]) + 1)
+
+    def likely(self, agree: np.ndarray) -> np.ndarray:
+        """The expected cosine, but for a constant, less the one needed."""
+        return self.slope * agree - self.needs
+
+    def search(self, query: np.ndarray, own_pivots: np.ndarray, k: int, skip: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and scores of the ``k`` best found, the id ``skip`` left out."""
+        likely = self.likely(self.agreement(own_pivots))
+        n = min(len(likely), self.ranked)
+        chosen = np.arange(len(likely))
+        if n < len(likely):  # candidates level with the last one are taken as well
+            chosen = np.flatnonzero(likely >= np.partition(likely, len(likely) - n)[len(likely) - n])
         score = (self.vectors[chosen] * query).sum(1)
         if len(chosen) > k + 1:
             top = np.argpartition(-score, k)
@@ -130,6 +174,8 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
         index = Shard(own["vec_id"].to_numpy(np.int64), np.stack(own["v"].to_numpy()), pivots.value)
         vectors_ = np.stack(wanted["v"].to_numpy())
         probes = nearest(vectors_, pivots.value, min(PROBES, len(pivots.value)))
+        tried = np.argsort(wanted["vec_id"].to_numpy(np.int64), kind="stable")[:TRIED]
+        index.calibrate(vectors_[tried], probes[tried], k)
         out = []
         for q, v, p in zip(wanted["vec_id"].to_numpy(np.int64), vectors_, probes):
             ids, scores = index.search(v, p, k, q)
