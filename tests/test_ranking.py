@@ -9,6 +9,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import ChiSquareTest
 
 from tidemark.operators import ranking
+from tidemark.plans import reports
 
 
 def average_ranks(x):
@@ -64,3 +65,19 @@ def test_empty_and_missing(spark):
     assert ranking.feature_ranking(df.limit(0), ["a"], ["c"]).count() == 0
     with pytest.raises(ValueError):
         ranking.feature_ranking(df, [], [])
+
+
+def test_timing_quantiles_of_a_hot_key_null_key_and_odd_values(spark):
+    rng = np.random.default_rng(5)
+    rows = [("hot", float(v), float(v) / 4) for v in rng.gamma(2.0, 30.0, 4000).round(2)]
+    rows += [(None, 1.0, None), (None, 4.0, 2.0), ("none", None, None), ("odd", float("nan"), 1.0), ("odd", 3.0, 1.0)]
+    table = spark.createDataFrame(rows, "encoder string, full_ms double, encoder_ms double")
+    got = {r.encoder: r for r in reports.timing_summary(table, ["encoder"], 10).collect()}
+    assert set(got) == {"hot", None, "none", "odd"}
+    x = np.array([r[1] for r in rows[:4000]])
+    assert np.isclose(got["hot"].full_ms_p50, np.quantile(x, 0.5)) and np.isclose(got["hot"].full_ms_p95, np.quantile(x, 0.95))
+    assert np.isclose(got["hot"].encoder_ms_p95, np.quantile(x / 4, 0.95)) and got["hot"].n_runs == 4000
+    assert got[None].full_ms_p50 == 2.5 and got[None].encoder_ms_p95 == 2.0
+    assert got["none"].full_ms_p50 is None and got["none"].encoder_share == 0.0
+    assert got["odd"].full_ms_p50 == 3.0
+    assert reports.timing_summary(table.limit(0), ["encoder"], 10).count() == 0

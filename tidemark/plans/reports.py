@@ -11,6 +11,7 @@ from tidemark.functions.formulas import number_text
 from tidemark.functions.scalars import MONOTONE_BELOW, dbl, rounded
 from tidemark.operators.guards import require_rows
 from tidemark.operators.modes import mode_first_seen, with_single_row
+from tidemark.operators.ordered import exact_quantiles
 from tidemark.sources.schemas import DEFAULT_ENCODER
 
 
@@ -256,20 +257,41 @@ def timing_summary(timings: DataFrame, keys: Sequence[str], rows_per_run: int) -
     """Mean, population deviation, median, p95, encoder share and rows per second.
 
     ``timings`` has one row per run with ``full_ms`` and ``encoder_ms``; a key
-    has as many rows as there were runs.
+    has as many rows as there were runs.  Moments are one aggregate.  The quantiles,
+    of finite timings, come from counts of buckets and runs of the few that hold a
+    wanted position, so no task holds a key's timings.  A null key is a key.
     """
-    full = F.percentile("full_ms", F.array(dbl(0.5), dbl(0.95)))
-    return timings.groupBy(*keys).agg(
+    name = F.to_json(F.struct(*[F.col(k).cast("string").alias(k) for k in keys])).alias("_key")
+    named = timings.select(*keys, name, "full_ms", "encoder_ms")
+    moments = named.groupBy(*keys, "_key").agg(
         F.count("*").alias("n_runs"),
         F.avg("full_ms").alias("full_ms_mean"),
         F.stddev_pop("full_ms").alias("full_ms_std"),
-        full[0].alias("full_ms_p50"),
-        full[1].alias("full_ms_p95"),
         F.avg("encoder_ms").alias("encoder_ms_mean"),
         F.stddev_pop("encoder_ms").alias("encoder_ms_std"),
-        F.percentile("encoder_ms", dbl(0.95)).alias("encoder_ms_p95"),
-        F.coalesce(F.try_divide(F.avg("encoder_ms"), F.avg("full_ms")), dbl(0)).alias("encoder_share"),
-        F.try_divide(dbl(1000.0 * rows_per_run), F.avg("full_ms")).alias("rows_per_s"),
+    )
+    placed = exact_quantiles(named, ["full_ms", "encoder_ms"], [0.5, 0.95], ["_key"])
+
+    def quantile(field: str, i: int) -> Column:
+        return F.max(F.when(F.col("field") == field, F.col("quantiles")[i]))
+
+    wide = placed.groupBy("_key").agg(
+        quantile("full_ms", 0).alias("full_ms_p50"),
+        quantile("full_ms", 1).alias("full_ms_p95"),
+        quantile("encoder_ms", 1).alias("encoder_ms_p95"),
+    )
+    return moments.join(wide, "_key", "left").select(
+        *keys,
+        "n_runs",
+        "full_ms_mean",
+        "full_ms_std",
+        "full_ms_p50",
+        "full_ms_p95",
+        "encoder_ms_mean",
+        "encoder_ms_std",
+        "encoder_ms_p95",
+        F.coalesce(F.try_divide("encoder_ms_mean", "full_ms_mean"), dbl(0)).alias("encoder_share"),
+        F.try_divide(dbl(1000.0 * rows_per_run), F.col("full_ms_mean")).alias("rows_per_s"),
     )
 
 
