@@ -1,5 +1,7 @@
 """Streaming drain: replay, batch/stream parity, table upsert."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,7 +9,7 @@ from tidemark.functions.scalars import sigmoid
 from tidemark.operators import drift
 from tidemark.operators.models import linear_logit
 from tidemark.plans.ingest import fit_artifacts
-from tidemark.session import scratch_path
+from tidemark.session import scratch_path, shared_dir
 from tidemark.sources.schemas import envelope_schema
 from tidemark.sources.upsert import upsert_table
 from tidemark.streaming.drain import BatchJob, Sinks, drain, parquet_stream, read_sink
@@ -39,6 +41,10 @@ def test_drain_incremental_and_replay(spark):
     job.run(again, 1)
     assert read_sink(spark, job.sinks.predictions).count() == 300
     assert read_sink(spark, job.sinks.metrics).count() == 2
+    # what a batch pinned is gone once its sinks are written
+    pinned = sorted(os.listdir(path := shared_dir(spark).removeprefix("file:")))
+    job.run(again, 2)
+    assert sorted(os.listdir(path)) == pinned
     with pytest.raises(ValueError):
         drain(stream, job, f"{root}/b", layout="xml")
 

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,9 +32,33 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir() or folder
 
 
+_scopes = threading.local()
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Remove, at its end, what this thread pinned or staged inside.
+
+    For work whose results are written elsewhere by then; a DataFrame that still
+    reads a pinned table must not leave the scope.
+    """
+    outer = getattr(_scopes, "paths", None)
+    _scopes.paths = []
+    try:
+        yield
+    finally:
+        paths, _scopes.paths = _scopes.paths, outer
+        for name in paths:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if getattr(_scopes, "paths", None) is not None:
+        _scopes.paths.append(path)
+    return path
 
 
 def pin(df: DataFrame, *by: str) -> DataFrame:

@@ -14,7 +14,7 @@ from tidemark.operators.drift import DriftReference, drift_report, summarize
 from tidemark.operators.metrics import batch_metrics
 from tidemark.operators.modes import with_single_row
 from tidemark.plans.ingest import Artifacts
-from tidemark.session import pin
+from tidemark.session import pin, scratch_scope
 from tidemark.sources.envelope import decode_json, flatten
 from tidemark.sources.tables import overwrite_batch
 
@@ -56,7 +56,14 @@ class BatchJob:
     sinks: Sinks
 
     def run(self, flat: DataFrame, batch_id: int) -> None:
-        """Process one flat micro-batch into the four sinks; a replay overwrites itself."""
+        """Process one flat micro-batch into the four sinks; a replay overwrites itself.
+
+        Tables pinned on the way are removed once the sinks are written.
+        """
+        with scratch_scope(flat.sparkSession):
+            self._run(flat, batch_id)
+
+    def _run(self, flat: DataFrame, batch_id: int) -> None:
         started = time.monotonic()
         if flat.isEmpty():
             return
