@@ -148,6 +148,31 @@ def test_pii_beside_other_digits_and_capitals(spark):
     assert new[2] in got[-1] and new[1] in got[-1] and rows[-1].pii_found == 3
 
 
+def test_numbers_abroad_share_no_prefix_and_tokens_are_found(spark):
+    texts = ["+44 20 7946 0958", "+44 20 7946 0123", "+44 20 7946 0958 12 items", "+353 1 234 5678",
+             "key ghp_" + "a1B2c3D4e5F6" * 3, "x eyJhbGciOiJI.eyJzdWIiOiIx.c2lnbmF0dXJlLW9mLXRva2Vu y", "ghp_short, eyJ alone"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    docs = docs.selectExpr("*", "doc_id AS pieces", "'r' AS row", "'p' AS _pieces")  # names that could clash
+    got = {r.doc_id: r for r in pii.pseudonymise(docs).collect()}
+    assert all((r.pieces, r.row, r._pieces) == (i, "r", "p") for i, r in got.items())
+    new = [got[i].text for i in range(len(texts))]
+    assert [got[i].pii_found for i in range(len(texts))] == [1, 1, 1, 1, 1, 1, 0]
+    assert new[0] != texts[0] and new[0][:4] == new[1][:4] == "+44 " and new[0][4:9] != new[1][4:9]
+    assert new[2] == new[0] + " 12 items"
+    assert new[3].startswith("+353 ")
+    for was, now in zip(texts[:-1], new):
+        assert was != now and len(was) == len(now)
+        assert [c.isalnum() for c in was] == [c.isalnum() for c in now]
+    assert new[4].startswith("key ghp_") and new[4] != texts[4]
+    assert new[5].startswith("x eyJ") and new[5].count(".") == 2 and new[5].endswith(" y")
+    # the digits after a country code are permuted: every other digit string comes out once
+    many = spark.range(20_000).selectExpr("id AS doc_id", "concat('+44 20 79 ', lpad(id, 6, '0')) AS text")
+    out = pii.pseudonymise(many)
+    assert out.select("text").distinct().count() == 20_000
+    heads = out.selectExpr("substr(text, 5, 2) AS h").distinct().count()
+    assert heads == 100
+
+
 def test_feistel_is_a_permutation(spark):
     pairs = spark.range(17 * 40).select(pii.feistel_pair(F.col("id") % 17, 17, F.floor(F.col("id") / 17), 40, "k", "t").alias("p"))
     got = {(r.p.a, r.p.b) for r in pairs.collect()}

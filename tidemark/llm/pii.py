@@ -12,11 +12,12 @@ every document and different values stay different.
 * Strings are halves of characters; each round shifts every digit and letter of one
   half within its own class by a keyed function of the other half.
 
-* Numbers abroad have no known length: each digit is shifted by a keyed function of the
-  digits before it, so digits that follow a number do not change its pseudonym.
+* Numbers abroad keep their country code; the digits after it are one string.  Where
+  ``PHONE_LENGTHS`` knows a country's number length, a number ends there, so digits that
+  follow it do not change its pseudonym; elsewhere it ends where its digits end.
 
 Kept: separators, letter case, a card's first digit, a mail address's domain, an
-account's country.  Recomputed: check digits.  Left as it is: what fails validation.
+account's and a phone number's country, the fixed beginning of an access token.  Recomputed: check digits.  Left as it is: what fails validation.
 
 Defined results: a null text stays null with zero replacements; columns named
 ``pii_found`` are replaced; all other columns pass through.
@@ -33,14 +34,31 @@ ROUNDS = 8
 #: First day and number of days of the calendar that dates are permuted in: 1900 to 2099.
 FIRST_DAY, DAYS = "1900-01-01", (17, 4297)
 
+# Digits after the country code, for countries where all numbers have as many.
+PHONE_LENGTHS = {
+    8: ["45", "47", "65", "370", "371", "372", "852"],
+    9: ["27", "31", "33", "34", "40", "41", "48", "56", "61", "212", "254", "351", "375", "380", "420", "421", "966"],
+    10: ["7", "30", "44", "52", "54", "57", "63", "90", "91", "92"],
+}
+# Country codes of one and of two digits; all others have three.
+COUNTRY_CODE = "^(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
+#: Numbers of known length, which end there whatever follows.
+ABROAD = r"\+(?:" + "|".join(
+    rf"(?:{'|'.join(codes)})(?:[ .-]?[0-9]){{{n}}}" for n, codes in PHONE_LENGTHS.items()) + ")(?![0-9A-Za-z])"
+# What access tokens begin with, and what may follow.
+TOKENS = "|".join([
+    "AKIA[0-9A-Z]{16}", "gh[pousr]_[0-9A-Za-z]{36,255}", "xox[abprs]-[0-9A-Za-z-]{10,200}",
+    r"eyJ[0-9A-Za-z_-]{8,}\.eyJ[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{16,}"])
+TOKEN_HEAD = "^(AKIA|gh[pousr]_|xox[abprs]-|eyJ|)"
+
 # Fixed formats, in order of preference where several match at one place.
 PATTERNS = {
     "mail": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "secret": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|(?<=(?:password|passwd|secret|token|api_key)[ ]?[=:][ ]?[\"']?)[A-Za-z0-9]{8,}",
+    "secret": rf"(?<![A-Za-z0-9])(?:{TOKENS})(?![A-Za-z0-9])|" r"(?<=(?:password|passwd|secret|token|api_key)[ ]?[=:][ ]?[\"']?)[A-Za-z0-9]{8,}",
     "address": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
     "date": r"(?<![0-9/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9/]|[.-][0-9])",
     "social": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])",
-    "phone": r"(?<![0-9A-Za-z])(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z]|-[0-9])|\+[0-9](?:[ .-]?[0-9]){7,14}(?![0-9A-Za-z])",
+    "phone": rf"{ABROAD}|" r"(?<![0-9A-Za-z])(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z]|-[0-9])|\+[0-9](?:[ .-]?[0-9]){7,14}(?![0-9A-Za-z])",
     "card": r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])",
 }
 END = "(?![0-9A-Za-z])"
@@ -216,7 +234,7 @@ def _social(m: Column, key: str) -> Column:
 
 
 def _phone(m: Column, key: str) -> Column:
-    """Numbers of the North American plan keep the plan; others keep country digits."""
+    """Numbers of the North American plan keep the plan; others keep their country code."""
     def american(d: Column) -> Column:
         n = F.right(d, F.lit(10))
         area, exchange, line = (_int(F.substring(n, a, k)) for a, k in ((1, 3), (4, 3), (7, 4)))
@@ -230,9 +248,9 @@ def _phone(m: Column, key: str) -> Column:
         return (F.length(d).isin(10, 11)) & n.rlike("^[2-9][0-9]{2}[2-9]") & ((F.length(d) == 10) | d.startswith("1"))
 
     def abroad(d: Column) -> Column:
-        def one(c: Column, i: Column) -> Column:
-            return F.pmod(_int(c) + _keyed(key, "phone", i, F.substr(d, F.lit(1), i + 2)), F.lit(10)).cast("string")
-        return refill(m, F.concat(F.substr(d, F.lit(1), F.lit(2)), F.array_join(F.transform(F.split(F.substr(d, F.lit(3)), ""), one), "")))
+        own = F.regexp_replace(d, COUNTRY_CODE, "")
+        code = F.substr(d, F.lit(1), F.length(d) - F.length(own))
+        return _with(F.concat(code, feistel_text(own, key, "phone")), lambda x: refill(m, x))
 
     return _with(_digits(m), lambda d: F.when(valid(d), american(d))
                  .when(m.startswith("+") & ~m.startswith("+1") & F.length(d).between(8, 15), abroad(d)).otherwise(m))
@@ -243,8 +261,8 @@ def _mail(m: Column, key: str) -> Column:
 
 
 def _secret(m: Column, key: str) -> Column:
-    return F.when(m.startswith("AKIA"), F.concat(F.lit("AKIA"), feistel_text(F.substr(m, F.lit(5)), key, "secret"))).otherwise(
-        feistel_text(m, key, "secret"))
+    head = F.regexp_extract(m, TOKEN_HEAD, 1)
+    return F.concat(head, feistel_text(F.substr(m, F.length(head) + 1), key, "secret"))
 
 
 #: What replaces a match of each pattern.
@@ -329,10 +347,12 @@ def pseudonymise(docs: DataFrame, key: str = "tidemark", column: str = "text") -
         _by_value(CARD_FROM, _card_spans(CARD_OTHERS), lambda v: _card(v, key)),
         _by_pattern(["card"], key),
     ]
-    found = docs.select(*own).withColumn("_pieces", F.when(suspect, F.array(_piece(text))))
+    # own columns travel as one struct, so none of their names clashes with a working column
+    found = docs.select(F.struct(*own).alias("row"), F.when(suspect, F.array(_piece(text))).alias("pieces"))
     for step in steps:
-        found = found.withColumn("_pieces", _cut(F.col("_pieces"), step))
-    changed = F.size(F.filter("_pieces", lambda p: p["new"] != p["t"]))
-    out = F.when(F.col("_pieces").isNotNull(), F.array_join(F.transform("_pieces", lambda p: F.coalesce(p["new"], p["t"])), "")).otherwise(text)
-    return found.select(*[out.alias(c) if c == column else F.col(c) for c in own],
-                        F.when(F.col("_pieces").isNull(), F.lit(0)).otherwise(changed).cast("bigint").alias("pii_found"))
+        found = found.withColumn("pieces", _cut(F.col("pieces"), step))
+    changed = F.size(F.filter("pieces", lambda p: p["new"] != p["t"]))
+    row = F.col("row")
+    out = F.when(F.col("pieces").isNotNull(), F.array_join(F.transform("pieces", lambda p: F.coalesce(p["new"], p["t"])), "")).otherwise(row[column])
+    return found.select(*[(out if c == column else row[c]).alias(c) for c in own],
+                        F.when(F.col("pieces").isNull(), F.lit(0)).otherwise(changed).cast("bigint").alias("pii_found"))
