@@ -205,42 +205,90 @@ def test_suffix_tree(spark):
     assert suffixtree.score(docs.select("doc_id", "text").limit(0)).count() == 0
 
 
-def test_suffix_tree_walk_by_brute_force():
-    rng = random.Random(4)
-    texts = [" ".join(rng.choice(["ab", "abc", "ba", "c"]) for _ in range(rng.randint(0, 300))) for _ in range(60)]
-    at, s, begins = suffixtree.symbols(pa.array(texts, pa.large_string()))
-    for i, t in enumerate(texts):
-        assert s[at[i] : at[i + 1]].tobytes() == b"".join(w + b" " for w in t.encode().split()) + b"\n"
-    assert [bytes([x]) for x in s[begins[1:] - 1]].count(b"\n") == len(texts) - 1
-    import pandas as pd
-
-    key = suffixtree.contexts(at, s)
-    levels = []
-    for d in range(suffixtree.DEPTH + 1):
-        c = key >> np.uint64(8 * (suffixtree.DEPTH - d)) if d else np.zeros(len(key), np.uint64)
-        levels.append(pd.DataFrame({"c": c.view(np.int64), "s": s.astype(np.int64), "n": 1}).groupby(["c", "s"], as_index=False).sum())
-        often = levels[-1].groupby("c")["n"].transform("sum") >= 20
-        levels[-1] = levels[-1][often]
-    tree = suffixtree.grow(levels, len(s))
-    probe = texts[:5] + ["zz ab ba abcab", ""]
-    pat, ps, _ = suffixtree.symbols(pa.array(probe, pa.large_string()))
-    got = suffixtree.walk(tree, pat, ps)
-    known = [{int(c) for c in lv["c"].unique()} for lv in levels]
+def planted(rng, n_docs, length):
+    """Texts in which every word but rare ones foretells the next."""
+    names = [f"w{i}" for i in range(12)]
+    after = {w: rng.sample(names, 2) for w in names}
+    for _ in range(n_docs):
+        word, out = rng.choice(names), []
+        for _ in range(rng.randint(0, length)):
+            out.append(word if rng.random() < 0.9 else f"rare{rng.randint(0, 300)}")
+            word = rng.choice(after[word])
+        yield " ".join(out)
+
+
+def brute_tree_score(train, probe):
+    """log10 probability of each probe's tokens; texts are tuples that end with None."""
+    texts = set(train)
+    u = Counter(w for t in texts for w in t)
+    total = sum(u.values())
+    unseen = min(sum(v == 1 for v in u.values()) / total or 0.5 / (total + 1), 0.5)
+    root = {w: (1 - unseen) * v / total for w, v in u.items()}
+    own = {w for w, v in u.items() if v >= suffixtree.MIN_COUNT} | {None}
+    symbol = lambda w: w if w in own else "*"
+    start = {w: p for w, p in root.items() if w in own}
+    start["*"] = unseen + sum(p for w, p in root.items() if w not in own)
     states = {}
-    n = 0
-    for d, lv in enumerate(levels):
-        for c in np.unique(lv["c"].to_numpy().view(np.uint64)):
-            states[d, int(c)] = n
-            n += 1
-    keys = suffixtree.contexts(pat, ps)
-    for i in range(len(probe)):
-        want = 0.0
-        for k in range(pat[i], pat[i + 1]):
-            d = max(d for d in range(suffixtree.DEPTH + 1) if (d, int(keys[k] >> np.uint64(8 * (suffixtree.DEPTH - d))) if d else 0) in states)
-            state = states[d, int(keys[k] >> np.uint64(8 * (suffixtree.DEPTH - d))) if d else 0]
-            want += float(tree.log_p[tree.row[state], tree.alphabet[ps[k]]])
-        assert got[pat[i] : pat[i + 1]].sum(dtype=float) == pytest.approx(want, rel=1e-5)
-    assert np.allclose((10.0 ** tree.log_p.astype(float)).sum(1), 1, atol=1e-4) and known
+
+    def p(context, w):
+        while context and context not in states:
+            context = context[1:]
+        if not context:
+            return start[w]
+        n, t = states[context]
+        return (n.get(w, 0) + len(n) * p(context[1:], w)) / (t + len(n))
+
+    for d in range(1, suffixtree.DEPTH + 1):
+        level = {}
+        for t in texts:
+            padded = (None,) * d + tuple(map(symbol, t))
+            for i in range(d, len(padded)):
+                level.setdefault(padded[i - d : i], Counter())[padded[i]] += 1
+        for c, n in level.items():
+            t = sum(n.values())
+            if t >= suffixtree.MIN_COUNT and sum(v * math.log(v / t / p(c[1:], w)) for w, v in n.items()) >= suffixtree.GAIN * len(n):
+                states[c] = n, t
+    for c in states:
+        assert sum(p(c, w) for w in start) == pytest.approx(1)
+    out = []
+    for t in probe:
+        padded = (None,) * suffixtree.DEPTH + tuple(map(symbol, t))
+        inside = sum(math.log10(root.get(w, unseen) / start["*"]) for w in t if w not in own)
+        out.append(inside + sum(math.log10(p(padded[i - suffixtree.DEPTH : i], padded[i])) for i in range(suffixtree.DEPTH, len(padded))))
+    return out, {len(c) for c in states}
+
+
+def test_suffix_tree_score_by_brute_force_and_repetition(spark, monkeypatch):
+    monkeypatch.setattr(suffixtree, "BLOCK_CHARS", 5_000)
+    rng = random.Random(4)
+    texts = list(planted(rng, 400, 60))
+    mixed = [" ".join(rng.sample(t.split(), len(t.split()))) for t in texts]
+    rows = [(f"d{i}", t) for i, t in enumerate(texts)]
+    rows += [(f"s{i}", t) for i, t in enumerate(mixed) if zlib.crc32(f"s{i}".encode()) % 5 == 1]
+    held = lambda k: zlib.crc32(k.encode()) % 5 == 1
+    toks = lambda t: (*t.split(), None)
+    brute, lengths = brute_tree_score([toks(t) for k, t in rows if not held(k)], [toks(t) for _, t in rows])
+    assert len(lengths) >= 2
+    got = {r.doc_id: r for r in suffixtree.score(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    for (k, _), want in zip(rows, brute):
+        assert got[k].score == pytest.approx(want, rel=1e-9)
+    # words in their order, and in any other
+    ordered = sum(got[f"d{k[1:]}"].score for k in got if k[0] == "s")
+    assert ordered > sum(r.score for k, r in got.items() if k[0] == "s") * 0.9
+    # training texts ten times over: the tree stays, the base does not gain on it
+    again = [(f"{k}x{j}", t) for j in range(60) for k, t in rows if not held(k) and not held(f"{k}x{j}")][: 9 * len(rows)]
+    more = {r.doc_id: r for r in suffixtree.score(spark.createDataFrame(rows + again, "doc_id string, text string")).collect()}
+    gain = lambda found: sum(found[k].score - found[k].base_score for k, _ in rows if held(k) and k[0] == "d")
+    assert gain(more) >= gain(got) > 0 and more["d0"].score == pytest.approx(got["d0"].score)
+
+
+def test_gram_keys_agree_with_sql(spark):
+    at, symbol = np.array([0, 3, 4, 9]), np.arange(9, dtype=np.int64) * 7919 - 30_000
+    context, gram = suffixtree.keys_of(at, symbol)
+    for d in range(1, suffixtree.DEPTH + 1):
+        rows = spark.createDataFrame([(int(c), int(p)) for c, p in zip(context[d], gram[d - 1])], "c bigint, par bigint")
+        assert [r.g for r in rows.selectExpr(suffixtree.GRAM).collect()] == gram[d].tolist()
+        assert len(set(gram[d].tolist())) == 9
 
 
 def brute_fingerprint(text):

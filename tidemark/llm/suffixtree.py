@@ -1,30 +1,35 @@
 """Language-model scoring with a probabilistic suffix tree.
 
-The symbols are the bytes of a text's tokens, each closed by a space, and an end symbol,
-so no token's symbols begin another's.  Contexts are variable-length: up to ``DEPTH`` symbols back, a context
-is a candidate if its share of all training symbols reaches ``MIN_SHARE``, and it is
-retained if its next-symbol distribution differs from that of the context one symbol
-shorter by a likelihood-ratio test.  A retained context's distribution is smoothed
-towards that of its longest retained suffix; a symbol is scored in the state of the
-longest suffix of what came before.  The alphabet of whole tokens is that of the base
-score, tokens never trained on being one symbol of the share that tokens seen once
-foretell; a known token's count is smoothed by the tree's product over its symbols.
-
-``MIN_SHARE`` bounds the tree by DEPTH / MIN_SHARE states at any input size, so it may
-be broadcast; candidates are closed under dropping their first or last symbol, which
-makes them the states of an automaton.  Tasks walk it with all segments of a slice at
-once.  Counting sends one row per distinct (context, symbol) of a task; the counts of
-all words, which the base score needs, stay distributed and are joined back to blocks
-of documents.
+Tokens are words and one end a text.  Words seen in few training texts share one symbol;
+every other token is a symbol of its own.  Contexts are variable-length: up to ``DEPTH``
+symbols back.  A context is a candidate from ``MIN_COUNT`` occurrences on, at any size of
+the corpus, so the tree grows with it; it is retained if its next-symbol distribution
+differs from that of its longest retained suffix by a likelihood-ratio test.  A retained
+context's distribution is smoothed towards that suffix's; a token is scored in the state
+of the longest retained suffix of what came before it.  The root is the word
+distribution, in which tokens never trained on are one more kind, whose share is that of
+tokens seen once.  Inside the shared symbol words keep the root's proportions.
+
+The tree learns from every distinct training text once: copies say nothing new about
+what follows what, and would make contexts surer than they are.  The base score counts
+all copies.
+
+Words, contexts and grams are known by 64-bit keys; states, probabilities and word
+counts are tables that are joined to blocks of documents, never broadcast.  What is
+broadcast are bit sets of 8 MB at any input size: they keep keys out of joins that would
+find nothing, and which words share the common symbol is read from one alone, so it is
+the same in training and in scoring.  Counting sends one row per distinct (context,
+symbol) of a task.
 
 Defined results: a null or empty text is its end alone; a null ``doc_id`` is scored,
-never trained on, and not held out.
+never trained on, and not held out.  Without training texts every token has
+probability one half.  ``doc_id`` may be of any type.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -32,313 +37,301 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from tidemark.llm.batches import fold, slices, string_bytes, sums_between, texts, word_codes, word_lists
+from tidemark.llm.batches import fold, slices, sums_between, texts, word_codes
 from tidemark.session import pin
 
-DEPTH = 5
-MIN_SHARE = 1e-5
+#: Symbols a context reaches back.
+DEPTH = 3
+#: Occurrences in distinct texts from which a word is a symbol and a context a candidate.
+MIN_COUNT = 16
 #: Likelihood-ratio gain a context must bring for each next symbol it has seen.
-GAIN = 5.0
-END = 10  # a byte no token holds
-SEGMENT = 384
+GAIN = 0.5
 #: Characters of text in a block of documents, on average.
 BLOCK_CHARS = 8_000_000
-U8 = np.uint64(8)
-#: Key of the end token among hashed words.
+#: Keys of the end token and of the symbol that infrequent words share.
 END_KEY = np.int64(-1)
+SHARED_KEY = np.int64(-2)
+#: Bit sets: 2 ** 20 cells of 64 bits, found by a key's highest bits.
+CELL_SHIFT, BIT_SHIFT = 44, 38
+#: Distinct grams a task holds before it sends what it has counted.
+HELD_ROWS = 2_000_000
 
 
-def symbols(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Offsets of each text's symbols, all symbols, and where tokens begin.
+def hashed(words: pa.Array) -> np.ndarray:
+    """64-bit keys of words."""
+    return pd.util.hash_array(np.asarray(words.to_pylist(), object), categorize=False).view(np.int64) if len(words) else np.zeros(0, np.int64)
 
-    Every word is closed by a space and every text by an end, which is a token itself;
-    so no token's symbols begin another's.
-    """
-    at, words = word_lists(text)
-    off, raw = string_bytes(words)
-    n = np.diff(at)
-    doc = np.repeat(np.arange(len(n)), n)
-    size = np.diff(off)
-    starts = off[:-1] + np.arange(len(words)) + doc
-    out = np.full(len(raw) + len(words) + len(n), 32, np.uint8)
-    owner = np.repeat(np.arange(len(words)), size)
-    out[np.arange(len(raw)) - off[:-1][owner] + starts[owner]] = raw
-    ends = np.cumsum(sums_between(at, size + 1) + 1)
-    out[ends - 1] = END
-    return np.concatenate([[0], ends]), out, np.insert(starts, at[1:], ends - 1)
-
-
-def contexts(at: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-    """The ``DEPTH`` symbols before each, the nearest in the highest byte; ends before a text's start."""
-    place = np.arange(len(symbol)) - np.repeat(at[:-1], np.diff(at))
-    key = np.zeros(len(symbol), np.uint64)
-    for j in range(DEPTH):
-        back = np.full(len(symbol), END, np.uint8)
-        back[j + 1 :] = symbol[: max(0, len(symbol) - j - 1)]
-        key = (key << U8) | np.where(place > j, back, np.uint8(END))
-    return key
-
-
-def gram_counts(docs: DataFrame) -> DataFrame:
-    """(gram, n): the counts of every (context of full depth, symbol) over all rows."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts, held = [], [], 0
+def with_ends(at: np.ndarray, values: np.ndarray, end: object) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and values of tokens, every text's words being followed by its end."""
+    return at + np.arange(len(at)), np.insert(values, at[1:], end)
+
 
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            k, n = np.concatenate(keys), np.concatenate(counts)
-            order = np.argsort(k)
-            k, n = k[order], n[order]
-            first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-            return k[first], np.add.reduceat(n, first)
+def before(at: np.ndarray, values: np.ndarray, back: int, start: np.generic) -> np.ndarray:
+    """The value ``back`` places before each, ``start`` where that is before the text."""
+    out = np.full(len(values), start, values.dtype)
+    out[back:] = values[: max(0, len(values) - back)]
+    place = np.arange(len(values)) - np.repeat(at[:-1], np.diff(at))
+    out[place < back] = start
+    return out
 
-        def rows(k: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(n)], ["gram", "n"])
 
-        for batch in slices(batches):
-            at, s, _ = symbols(texts(batch))
-            k, n = np.unique((contexts(at, s) << U8) | s, return_counts=True)
-            keys.append(k)
-            counts.append(n)
-            held += len(k)
-            if held > 3_000_000:
-                k, n = merged()
-                keys, counts, held = [k], [n], len(k)
-                if held > 2_000_000:
-                    yield rows(k, n)
-                    keys, counts, held = [], [], 0
-        if keys:
-            yield rows(*merged())
-
-    return docs.select("text").mapInArrow(run, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
-
-
-@dataclass(frozen=True)
-class Tree:
-    alphabet: np.ndarray  # symbol number of each byte
-    follow: np.ndarray  # state x symbol -> state
-    row: np.ndarray  # state -> row of log_p
-    log_p: np.ndarray  # retained state x symbol
-    start: int
-    n_states: int
-    n_retained: int
-
-
-def frequent(grams: DataFrame, total: int) -> list[pd.DataFrame]:
-    """For each depth the counts (context, symbol, n) of contexts frequent enough.
-
-    Shorter grams are summed from longer ones; their number is bounded by
-    1 / MIN_SHARE contexts a depth.
-    """
-    out = []
-    rows = grams.select(F.shiftrightunsigned("gram", 8).alias("c"), F.col("gram").bitwiseAND(F.lit(255).cast("bigint")).alias("s"), "n")
-    for depth in range(DEPTH, -1, -1):
-        if depth < DEPTH:
-            rows = pin(rows.groupBy(F.shiftrightunsigned("c", 8).alias("c"), "s").agg(F.sum("n").alias("n")))
-        often = rows.groupBy("c").agg(F.sum("n").alias("t")).where(F.col("t") >= MIN_SHARE * total).select(F.col("c").alias("k"))
-        out.append(rows.join(often, rows.c == often.k, "left_semi").toPandas())
-    return out[::-1]
-
-
-def grow(levels: list[pd.DataFrame], total: int) -> Tree:
-    """States, transitions and distributions from the frequent contexts' counts."""
-    seen = np.unique(np.concatenate([[32, END], levels[0]["s"].to_numpy(np.int64)]))
-    alphabet = np.full(256, len(seen), np.int64)  # one more for bytes never seen
-    alphabet[seen] = np.arange(len(seen))
-    a = len(seen) + 1
-    keys, first = [], [0]
-    log_rows, row_of, counts_of = [], [], []
-    p_of_parent = None
-    for depth, level in enumerate(levels):
-        c = level["c"].to_numpy(np.int64).view(np.uint64)
-        key, which = np.unique(c, return_inverse=True)
-        n = np.zeros((len(key), a))
-        np.add.at(n, (which.reshape(-1), alphabet[level["s"].to_numpy(np.int64)]), level["n"].to_numpy(float))
-        if depth == 0:
-            if not len(key):
-                key, n = np.zeros(1, np.uint64), np.zeros((1, a))
-            p = (n + 0.5) / (n.sum() + 0.5 * a)
-            log_rows.append(p)
-            row = np.zeros(1, np.int64)
-            n_rows = 1
-        else:
-            parent = np.searchsorted(keys[-1], key >> U8)  # frequent contexts have frequent suffixes
-            t = n.sum(1)
-            q = counts_of[-1][parent]
-            q = q / q.sum(1, keepdims=True)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                gain = np.where(n > 0, n * np.log(n / t[:, None] / q), 0).sum(1)
-            kinds = (n > 0).sum(1)
-            keep = gain >= GAIN * kinds
-            base = p_of_parent[parent]
-            p = np.where(keep[:, None], (n + kinds[:, None] * base) / (t + kinds)[:, None], base)
-            row = row_of[-1][parent].copy()
-            row[keep] = n_rows + np.arange(keep.sum())
-            n_rows += int(keep.sum())
-            log_rows.append(p[keep])
-        keys.append(key)
-        first.append(first[-1] + len(key))
-        row_of.append(row)
-        counts_of.append(n)
-        p_of_parent = p
-    follow = np.zeros((first[-1], a), np.int32)
-    for depth in range(len(levels)):
-        key = keys[depth]
-        for s, byte in enumerate(seen):
-            target = np.zeros(len(key), np.int64)
-            open_ = np.ones(len(key), bool)
-            for d in range(min(depth + 1, DEPTH), 0, -1):
-                # the newest symbol on top, then the d - 1 nearest of the context
-                old = key >> np.uint64(8 * (depth - d + 1)) if depth >= d - 1 else key
-                want = (np.uint64(byte) << np.uint64(8 * (d - 1))) | old
-                i = np.searchsorted(keys[d], want)
-                i[i == len(keys[d])] = 0
-                hit = open_ & (keys[d][i] == want) if len(keys[d]) else np.zeros(len(key), bool)
-                target[hit] = first[d] + i[hit]
-                open_ &= ~hit
-                if not open_.any():
-                    break
-            follow[first[depth] : first[depth + 1], s] = target
-    start = 0
-    for _ in range(DEPTH):
-        start = int(follow[start, alphabet[END]])
-    log_p = np.log10(np.concatenate(log_rows)).astype(np.float32)
-    return Tree(alphabet, follow, np.concatenate(row_of).astype(np.int32), log_p, start, first[-1], n_rows)
-
-
-def walk(tree: Tree, at: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-    """log10 probability of each symbol.
-
-    Texts are cut into segments that are walked side by side; a segment after the
-    first takes up its state from the ``DEPTH`` symbols before it.
-    """
-    code = tree.alphabet[symbol]
-    size = np.diff(at)
-    pieces = np.maximum(1, -(-size // SEGMENT))
-    doc = np.repeat(np.arange(len(size)), pieces)
-    k = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-    a = at[:-1][doc] + k * SEGMENT
-    b = np.minimum(a + SEGMENT, at[1:][doc])
-    order = np.argsort(-(b - a), kind="stable")
-    doc, k, a, b = doc[order], k[order], a[order], b[order]
-    state = np.full(len(doc), tree.start, np.int64)
-    later = k > 0
-    for j in range(DEPTH, 0, -1):
-        state[later] = tree.follow[state[later], code[a[later] - j]]
-    out = np.empty(len(symbol), np.float32)
-    length = b - a
-    live = np.searchsorted(-length, -np.arange(SEGMENT), side="left")  # segments longer than j
-    for j in range(int(length[0]) if len(length) else 0):
-        m = live[j]
-        s = state[:m]
-        c = code[a[:m] + j]
-        out[a[:m] + j] = tree.log_p[tree.row[s], c]
-        state[:m] = tree.follow[s, c]
+def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A key of an ordered pair of keys."""
+    x = a.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.view(np.uint64)
+    for shift, factor in ((32, 0xD6E8FEB86659FD93), (29, 0xA0761D6478BD642F)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return (x ^ (x >> np.uint64(32))).view(np.int64)
+
+
+def keys_of(at: np.ndarray, symbol: np.ndarray, depth: int = DEPTH) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """For each length up to ``depth`` the keys of every symbol's context, and of context and symbol."""
+    context, gram = [np.zeros(len(symbol), np.int64)], [symbol]
+    for d in range(1, depth + 1):
+        context.append(mixed(context[-1], before(at, symbol, d, END_KEY)))
+        turned = gram[-1].view(np.uint64)
+        turned = (turned << np.uint64(23)) | (turned >> np.uint64(41))
+        gram.append(context[-1] ^ turned.view(np.int64))
+    return context, gram
+
+
+#: ``keys_of``'s key of a context ``c`` and a symbol whose next shorter gram is ``par``.
+GRAM = "c ^ (shiftleft(par, 23) | shiftrightunsigned(par, 41)) AS g"
+
+
+def _cells(keys: DataFrame) -> DataFrame:
+    """(cell, bits) of the column ``k``: at most 2 ** 20 rows."""
+    return keys.groupBy(F.shiftrightunsigned("k", CELL_SHIFT).alias("cell")).agg(
+        F.expr(f"bit_or(shiftleft(1L, int(shiftrightunsigned(k, {BIT_SHIFT}) & 63)))").alias("bits"))
+
+
+def bit_set(keys: DataFrame) -> np.ndarray:
+    """The 2 ** 20 cells of the keys in column ``k``."""
+    rows = _cells(keys).toPandas()
+    out = np.zeros(1 << (64 - CELL_SHIFT), np.uint64)
+    out[rows["cell"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(np.uint64)
     return out
 
 
-def hashed(words: pa.Array) -> np.ndarray:
-    """64-bit keys of words."""
-    return pd.util.hash_array(np.asarray(words.to_pylist(), object), categorize=False).view(np.int64) if len(words) else np.zeros(0, np.int64)
+def maybe_in(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether the bit of each key is set: always for keys of the set, seldom for others."""
+    k = keys.view(np.uint64)
+    return (bits[k >> np.uint64(CELL_SHIFT)] >> ((k >> np.uint64(BIT_SHIFT)) & np.uint64(63))) & np.uint64(1) == 1
 
 
-def _block(blocks: int) -> Column:
-    return F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")
+def as_symbols(own: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """The symbols of tokens: their own keys, or the shared one."""
+    return np.where(maybe_in(own, keys) | (keys == END_KEY), keys, SHARED_KEY)
 
 
 def _trained() -> Column:
     return (fold("doc_id", 5) != 1) & (fold("doc_id", 5) >= 0)
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, c): every token's count over all training documents, summed per task first."""
+def word_counts(distinct: DataFrame) -> DataFrame:
+    """(word, c, u): every token's count over all copies of ``distinct`` (text, copies), and over one of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n_docs = 0
         for batch in slices(batches, most=16 << 20):
-            _, codes, words = word_codes(texts(batch))
-            n_docs += batch.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array(hashed(words)), pa.array(np.bincount(codes, minlength=len(words)))], ["word", "n"])
-        yield pa.RecordBatch.from_arrays([pa.array([END_KEY], pa.int64()), pa.array([n_docs], pa.int64())], ["word", "n"])
+            at, codes, words = word_codes(texts(batch))
+            copies = batch.column("copies").to_numpy().astype(np.int64)
+            c = np.zeros(len(words), np.int64)
+            np.add.at(c, codes, np.repeat(copies, np.diff(at)))
+            columns = [np.append(hashed(words), END_KEY), np.append(c, copies.sum()), np.append(np.bincount(codes, minlength=len(words)), len(copies))]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["word", "c", "u"])
+
+    return distinct.mapInArrow(run, "word bigint, c bigint, u bigint").groupBy("word").agg(F.sum("c").alias("c"), F.sum("u").alias("u"))
+
+
+def gram_counts(distinct: DataFrame, depth: int, own: object, shorter: object | None) -> DataFrame:
+    """(c, par, n): counts of (context of ``depth`` symbols, symbol), ``par`` being the gram without the oldest symbol.
+
+    ``shorter`` is a broadcast set of grams one symbol shorter that are frequent enough.  A context that is no such gram
+    is none either, and is left out with all that follows it.
+    """
 
-    return docs.where(_trained()).select("text").mapInArrow(run, "word bigint, n bigint").groupBy("word").agg(
-        F.sum("n").alias("c")).where("c > 0")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[list[np.ndarray]] = []
 
+        def merged() -> list[np.ndarray]:
+            gram, c, par, n = (np.concatenate(x) for x in zip(*parts))
+            order = np.argsort(gram)
+            gram, c, par, n = gram[order], c[order], par[order], n[order]
+            first = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
+            return [gram[first], c[first], par[first], np.add.reduceat(n, first)]
 
-def block_words(marked: DataFrame) -> DataFrame:
-    """(word, block): the distinct words of each block of documents, and the end token.
+        def rows(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            for i in range(0, len(columns[0]), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 100_000]) for x in columns[1:]], ["c", "par", "n"])
+
+        for batch in slices(batches):
+            at, codes, words = word_codes(texts(batch))
+            at, symbol = with_ends(at, as_symbols(own.value, hashed(words))[codes], END_KEY)
+            context, gram = keys_of(at, symbol, depth)
+            keep = np.ones(len(symbol), bool)
+            if shorter is not None:
+                keep = maybe_in(shorter.value, before(at, gram[depth - 1], 1, np.int64(0)))
+                keep[at[:-1]] = True
+            g, first, n = np.unique(gram[depth][keep], return_index=True, return_counts=True)
+            parts.append([g, context[depth][keep][first], gram[depth - 1][keep][first], n.astype(np.int64)])
+            if sum(len(p[0]) for p in parts) > HELD_ROWS:
+                parts[:] = [merged()]
+                if len(parts[0][0]) > HELD_ROWS // 2:
+                    yield from rows(parts.pop())
+        if parts:
+            yield from rows(merged())
+
+    counted = distinct.mapInArrow(run, "c bigint, par bigint, n bigint")
+    return counted.groupBy("c", "par").agg(F.sum("n").alias("n"))
+
+
+def grown(rows: DataFrame, below: DataFrame) -> DataFrame:
+    """(c, g, n, p, retained, rest): the candidates among contexts, their grams' probabilities, and what a state leaves to its suffix.
+
+    ``below``: (g, p) of the next shorter grams, in the states of their own longest retained suffixes.
+    """
+    judged = pin(rows.join(below.select(F.col("g").alias("par"), F.col("p").alias("q")), "par"))
+    tested = judged.groupBy("c").agg(
+        F.sum("n").alias("t"), F.count("*").alias("kinds"), F.sum(F.col("n") * F.log(F.col("n") / F.col("q"))).alias("fit")
+    ).where(F.col("t") >= MIN_COUNT).select(
+        F.col("c").alias("k"), "t", "kinds", (F.col("fit") - F.col("t") * F.log("t") >= GAIN * F.col("kinds")).alias("retained"))
+    whole = F.col("t") + F.col("kinds")
+    return pin(judged.join(tested, F.col("c") == F.col("k")).select(
+        "c", F.expr(GRAM), "n", F.when(F.col("retained"), (F.col("n") + F.col("kinds") * F.col("q")) / whole).otherwise(F.col("q")).alias("p"),
+        "retained", (F.col("kinds") / whole).alias("rest")))
+
+
+def token_scores(at: np.ndarray, symbol: np.ndarray, root: np.ndarray, found: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """log10 probability of each symbol in its longest retained suffix's state.
+
+    ``root``: by the root; ``found``: sorted keys of states and of their grams, and the
+    logarithms of what a state leaves to its suffix, or of a gram's probability.
+    """
+    keys, values = found
+    out = root.copy()
+    if not len(keys):
+        return out
+
+    def look(k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        i = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
+        return keys[i] == k, values[i]
+
+    for context, gram in list(zip(*keys_of(at, symbol)))[1:]:
+        state, rest = look(context)
+        seen, p = look(gram)
+        out = np.where(state & seen, p, np.where(state, out + rest, out))
+    return out
+
+
+def _block(blocks: int) -> Column:
+    return F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")
+
+
+def block_keys(marked: DataFrame, own: object, tree: object) -> DataFrame:
+    """(key, block): the distinct words of each block of documents, its end, and its keys that may be in the tree.
 
     ``marked``: (doc_id, text, block) dealt and sorted by block, so that a slice holds few
-    blocks; a word may come twice if its block is cut by a slice.
+    blocks; a key may come twice if its block is cut by a slice.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, most=16 << 20):
+        for batch in slices(batches):
             at, codes, words = word_codes(texts(batch))
+            word = hashed(words)
+            at, token = with_ends(at, word[codes], END_KEY)
+            context, gram = keys_of(at, as_symbols(own.value, token))
             block = batch.column("block").to_numpy().astype(np.int64)
-            kinds = max(1, len(words))
-            own = np.unique(np.repeat(block, np.diff(at)) * kinds + codes)
-            ended = np.unique(block)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([hashed(words)[own % kinds], np.full(len(ended), END_KEY)])),
-                 pa.array(np.concatenate([own // kinds, ended]).astype(np.int32))], ["word", "block"])
+            places = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+            for a, b in zip(places, [*places[1:], len(block)]):
+                mine = slice(at[a], at[b])
+                asked = [token[mine]]
+                for c, g in zip(context[1:], gram[1:]):
+                    hit = maybe_in(tree.value, c[mine])
+                    k = g[mine][hit]
+                    asked += [c[mine][hit], k[maybe_in(tree.value, k)]]
+                keys = np.unique(np.concatenate(asked))
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.full(len(keys), block[a], np.int32))], ["key", "block"])
 
-    return marked.mapInArrow(run, "word bigint, block int")
+    return marked.mapInArrow(run, "key bigint, block int")
 
 
 def score(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_tokens, n_known, train_tokens, base_score, score) for every row of ``docs`` (doc_id, text)."""
+    """(doc_id, n_tokens, n_known, base_score, score, train_tokens) for every row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-chars // BLOCK_CHARS))
 
-    grams = pin(gram_counts(docs.where(_trained())))
-    total = grams.agg(F.sum("n")).first()[0] or 0
-    tree = spark.sparkContext.broadcast(grow(frequent(grams, total), total))
-
-    counts = pin(word_counts(docs))
-    once = counts.agg(F.sum("c").alias("tokens"), F.count("*").alias("kinds"), F.sum((F.col("c") == 1).cast("bigint")).alias("singles")).first()
-    n_train, n_kinds = once.tokens or 0, once.kinds
-    kinds = float(max(1, n_kinds))
+    distinct = pin(docs.where(_trained()).groupBy(F.coalesce("text", F.lit("")).alias("text")).agg(F.count("*").alias("copies")))
+    counts = pin(word_counts(distinct))
+    sums = counts.agg(F.sum("c").alias("all"), F.count("*").alias("kinds"), F.sum("u").alias("tokens"),
+                      F.sum((F.col("u") == 1).cast("bigint")).alias("singles")).first()
+    n_train, n_kinds, tokens = sums["all"] or 0, sums["kinds"], sums["tokens"] or 0
     # tokens seen once tell the share of tokens never seen
-    unseen = min((once.singles or 0) / max(1, n_train) or 0.5 / (n_train + kinds), 0.9 * kinds / (n_train + kinds))
-    smooth = kinds - unseen * (n_train + kinds)
+    unseen = min((sums["singles"] or 0) / max(1, tokens) or 0.5 / (tokens + 1), 0.5)
     scale = float(np.log10(n_train + 0.5 * (n_kinds + 1)))
+    roots = counts.select(F.col("word").alias("g"), ((1 - unseen) * F.col("u") / max(1, tokens)).alias("p"), (F.col("u") >= MIN_COUNT).alias("often"))
+
+    # symbols of their own are all words whose bit is set, be it by another word
+    often = roots.where("often").select(F.col("g").alias("k"))
+    own = spark.sparkContext.broadcast(bit_set(often))
+    cells = _cells(often)
+    named = roots.join(cells, F.shiftrightunsigned("g", CELL_SHIFT) == F.col("cell"), "left").select(
+        "g", "p", F.expr(f"g = {END_KEY} OR coalesce(shiftrightunsigned(bits, int(shiftrightunsigned(g, {BIT_SHIFT}) & 63)) & 1 = 1, false)").alias("own"))
+    shared = unseen + (named.where("NOT own").agg(F.sum("p")).first()[0] or 0.0)
+    below = pin(named.where("own").select("g", "p").unionByName(
+        spark.range(1).select(F.lit(int(SHARED_KEY)).cast("bigint").alias("g"), F.lit(shared).alias("p"))))
+
+    levels, shorter = [], None
+    for depth in range(1, DEPTH + 1):
+        level = grown(gram_counts(distinct, depth, own, shorter), below)
+        levels.append(level.where("retained"))
+        below = level.select("g", "p")
+        if depth < DEPTH:
+            shorter = spark.sparkContext.broadcast(bit_set(level.where(F.col("n") >= MIN_COUNT).select(F.col("g").alias("k"))))
+    known = [counts.select(F.col("word").alias("k"), "c", F.log10((1 - unseen) * F.col("u") / max(1, tokens)).alias("v"))]
+    for level in levels:
+        known.append(level.select(F.col("g").alias("k"), F.lit(None).cast("bigint").alias("c"), F.log10("p").alias("v")))
+        known.append(level.groupBy("c").agg(F.log10(F.max("rest")).alias("v")).select(F.col("c").alias("k"), F.lit(None).cast("bigint").alias("c"), "v"))
+    states = reduce(DataFrame.unionByName, known[1:])
+    tree = spark.sparkContext.broadcast(bit_set(states.select("k")))
 
     # dealt by block once: both sides of the last step read this exchange
     marked = docs.select("doc_id", "text", _block(blocks).alias("block")).repartition("block")
-    words_of = block_words(marked.sortWithinPartitions("block"))
-    counted = words_of.join(counts.withColumnRenamed("word", "w"), F.col("word") == F.col("w"), "left").select(
-        "block", "word", F.coalesce("c", F.lit(0)).alias("c"))
-
-    def run(key: tuple, own: pa.Table, words: pa.Table) -> pa.Table:
-        order = pc.sort_indices(words.column("word"))
-        known = words.column("word").take(order).to_numpy()
-        count = words.column("c").take(order).to_numpy()
+    asked = block_keys(marked.sortWithinPartitions("block"), own, tree)
+    answered = asked.join(known[0].unionByName(states), F.col("key") == F.col("k")).select("block", "key", "c", "v")
+
+    doc_id = pa.field("doc_id", to_arrow_type(docs.schema["doc_id"].dataType))
+    fields = pa.schema([doc_id, ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+    log_unseen, log_shared = float(np.log10(unseen)), float(np.log10(shared))
+
+    def run(key: tuple, own_rows: pa.Table, words: pa.Table) -> pa.Table:
+        words = words.take(pc.sort_indices(words.column("key")))
+        is_word = words.column("c").is_valid().to_numpy()
+        keys, values = words.column("key").to_numpy(), words.column("v").to_numpy()
+        found = keys[~is_word], values[~is_word]
+        keys, values, count = keys[is_word], values[is_word], words.column("c").drop_null().to_numpy()
         parts = []
-        for batch in slices(own.combine_chunks().to_batches()):
-            text = texts(batch)
-            at, codes, distinct = word_codes(text)
-            c = count[np.searchsorted(known, hashed(distinct))].astype(np.float64)
-            c_end = float(count[np.searchsorted(known, END_KEY)])
-            base = sums_between(at, np.log10(c + 0.5)[codes]) + np.log10(c_end + 0.5)
-            n_tokens = np.diff(at) + 1
-            n_known = sums_between(at, (c > 0).astype(np.int64)[codes]) + int(c_end > 0)
-            # a token's count, smoothed by the tree; tokens never trained on are one symbol
-            sat, symbol, begins = symbols(text)
-            log_p = np.add.reduceat(walk(tree.value, sat, symbol).astype(np.float64), begins)
-            seen = np.insert(c[codes], at[1:], c_end)
-            with np.errstate(under="ignore"):
-                token = np.where(seen > 0, np.log10((np.maximum(seen, 1) + smooth * 10.0**log_p) / (n_train + kinds)), np.log10(unseen))
-            tokens_at = at + np.arange(len(at))
-            parts.append(pa.table({
-                "doc_id": batch.column("doc_id"), "n_tokens": n_tokens, "n_known": n_known,
-                "base_score": base - n_tokens * scale, "score": sums_between(tokens_at, token)}))
-        return pa.concat_tables(parts) if parts else schema_.empty_table()
+        for batch in slices(own_rows.combine_chunks().to_batches()):
+            at, codes, distinct_words = word_codes(texts(batch))
+            word = np.append(hashed(distinct_words), END_KEY)  # the end is the last code
+            c, root = np.zeros(len(word), np.int64), np.full(len(word), log_unseen)
+            if len(keys):
+                i = np.minimum(np.searchsorted(keys, word), len(keys) - 1)
+                hit = keys[i] == word
+                c[hit], root[hit] = count[i[hit]], values[i[hit]]
+            at, codes = with_ends(at, codes, len(distinct_words))
+            symbol = as_symbols(own.value, word)
+            # an infrequent word is scored as the shared symbol, then within it
+            inside = np.where(symbol == SHARED_KEY, root - log_shared, 0.0)
+            by_token = token_scores(at, symbol[codes], (root - inside)[codes], found) + inside[codes]
+            parts.append(pa.table([
+                batch.column("doc_id").cast(doc_id.type), np.diff(at), sums_between(at, (c > 0).astype(np.int64)[codes]),
+                sums_between(at, np.log10(c + 0.5)[codes]) - np.diff(at) * scale, sums_between(at, by_token)], schema=fields))
+        return pa.concat_tables(parts) if parts else fields.empty_table()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    names = f"doc_id {kind}, n_tokens bigint, n_known bigint, base_score double, score double"
-    schema_ = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
-    scored = marked.groupBy("block").cogroup(counted.groupBy("block")).applyInArrow(run, names)
+    scored = marked.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(
+        run, f"doc_id {kind}, n_tokens bigint, n_known bigint, base_score double, score double")
     return scored.withColumn("train_tokens", F.lit(n_train).cast("bigint"))
