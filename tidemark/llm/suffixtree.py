@@ -15,8 +15,8 @@ what follows what, and would make contexts surer than they are.  The base score
 all copies.
 
 Words, contexts and grams are known by 64-bit keys; states, probabilities and word
-counts are tables that are joined to blocks of documents, never broadcast.  What is
-broadcast are bit sets of 8 MB at any input size: they keep keys out of joins that would
+counts are tables that are joined to blocks of documents; a side is broadcast only after
+its rows were counted.  Broadcast at any input size are bit sets of 8 MB: they keep keys out of joins that would
 find nothing, and which words share the common symbol is read from one alone, so it is
 the same in training and in scoring.  Counting sends one row per distinct (context,
 symbol) of a task.
@@ -55,6 +55,8 @@ END_KEY = np.int64(-1)
 SHARED_KEY = np.int64(-2)
 #: Bit sets: 2 ** 20 cells of 64 bits, found by a key's highest bits.
 CELL_SHIFT, BIT_SHIFT = 44, 38
+#: Rows of at most four numbers up to which a side of a join is broadcast, its rows being counted first.
+BROADCAST_ROWS = 250_000
 #: Distinct grams a task holds before it sends what it has counted.
 HELD_ROWS = 2_000_000
 
@@ -163,8 +165,10 @@ def gram_counts(distinct: DataFrame, depth: int, own: object, shorter: object |
             return [gram[first], c[first], par[first], np.add.reduceat(n, first)]
 
         def rows(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            for i in range(0, len(columns[0]), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 100_000]) for x in columns[1:]], ["c", "par", "n"])
+            order = np.argsort(columns[1])  # equal contexts side by side take less room in an exchange
+            for i in range(0, len(order), 100_000):
+                part = order[i : i + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(x[part]) for x in columns[1:]], ["c", "par", "n"])
 
         for batch in slices(batches):
             at, codes, words = word_codes(texts(batch))
@@ -187,20 +191,28 @@ def gram_counts(distinct: DataFrame, depth: int, own: object, shorter: object |
     return counted.groupBy("c", "par").agg(F.sum("n").alias("n"))
 
 
+def small(df: DataFrame) -> tuple[DataFrame, bool]:
+    """A written table of narrow rows, marked for broadcast if it holds at most ``BROADCAST_ROWS``."""
+    table = pin(df)
+    fits = table.count() <= BROADCAST_ROWS
+    return (F.broadcast(table) if fits else table), fits
+
+
 def grown(rows: DataFrame, below: DataFrame) -> DataFrame:
     """(c, g, n, p, retained, rest): the candidates among contexts, their grams' probabilities, and what a state leaves to its suffix.
 
     ``below``: (g, p) of the next shorter grams, in the states of their own longest retained suffixes.
     """
-    judged = pin(rows.join(below.select(F.col("g").alias("par"), F.col("p").alias("q")), "par"))
-    tested = judged.groupBy("c").agg(
+    judged = pin(rows.join(below.select(F.col("g").alias("par"), F.col("p").alias("q")), "par").select("c", "par", "n", "q"))
+    tested, fits = small(judged.groupBy("c").agg(
         F.sum("n").alias("t"), F.count("*").alias("kinds"), F.sum(F.col("n") * F.log(F.col("n") / F.col("q"))).alias("fit")
     ).where(F.col("t") >= MIN_COUNT).select(
-        F.col("c").alias("k"), "t", "kinds", (F.col("fit") - F.col("t") * F.log("t") >= GAIN * F.col("kinds")).alias("retained"))
+        F.col("c").alias("k"), "t", "kinds", (F.col("fit") - F.col("t") * F.log("t") >= GAIN * F.col("kinds")).alias("retained")))
     whole = F.col("t") + F.col("kinds")
-    return pin(judged.join(tested, F.col("c") == F.col("k")).select(
+    level = judged.join(tested, F.col("c") == F.col("k")).select(
         "c", F.expr(GRAM), "n", F.when(F.col("retained"), (F.col("n") + F.col("kinds") * F.col("q")) / whole).otherwise(F.col("q")).alias("p"),
-        "retained", (F.col("kinds") / whole).alias("rest")))
+        "retained", (F.col("kinds") / whole).alias("rest"))
+    return level if fits else pin(level)
 
 
 def token_scores(at: np.ndarray, symbol: np.ndarray, root: np.ndarray, found: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -280,7 +292,7 @@ def score(docs: DataFrame) -> DataFrame:
     named = roots.join(cells, F.shiftrightunsigned("g", CELL_SHIFT) == F.col("cell"), "left").select(
         "g", "p", F.expr(f"g = {END_KEY} OR coalesce(shiftrightunsigned(bits, int(shiftrightunsigned(g, {BIT_SHIFT}) & 63)) & 1 = 1, false)").alias("own"))
     shared = unseen + (named.where("NOT own").agg(F.sum("p")).first()[0] or 0.0)
-    below = pin(named.where("own").select("g", "p").unionByName(
+    below, _ = small(named.where("own").select("g", "p").unionByName(
         spark.range(1).select(F.lit(int(SHARED_KEY)).cast("bigint").alias("g"), F.lit(shared).alias("p"))))
 
     levels, shorter = [], None
