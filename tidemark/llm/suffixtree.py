@@ -56,7 +56,7 @@ SHARED_KEY = np.int64(-2)
 #: Bit sets: 2 ** 20 cells of 64 bits, found by a key's highest bits.
 CELL_SHIFT, BIT_SHIFT = 44, 38
 #: Rows of at most four numbers up to which a side of a join is broadcast, its rows being counted first.
-BROADCAST_ROWS = 250_000
+BROADCAST_ROWS = 100_000
 #: Distinct grams a task holds before it sends what it has counted.
 HELD_ROWS = 2_000_000
 
@@ -103,17 +103,24 @@ def keys_of(at: np.ndarray, symbol: np.ndarray, depth: int = DEPTH) -> tuple[lis
 GRAM = "c ^ (shiftleft(par, 23) | shiftrightunsigned(par, 41)) AS g"
 
 
-def _cells(keys: DataFrame) -> DataFrame:
-    """(cell, bits) of the column ``k``: at most 2 ** 20 rows."""
+#: The bit of a key ``k`` within its cell.
+BIT = f"shiftleft(1L, int(shiftrightunsigned(k, {BIT_SHIFT}) & 63))"
+
+
+def _cells(keys: DataFrame, *sets: str) -> DataFrame:
+    """(cell, one column of bits for each condition) of the column ``k``: at most 2 ** 20 rows."""
     return keys.groupBy(F.shiftrightunsigned("k", CELL_SHIFT).alias("cell")).agg(
-        F.expr(f"bit_or(shiftleft(1L, int(shiftrightunsigned(k, {BIT_SHIFT}) & 63)))").alias("bits"))
+        *[F.expr(f"bit_or(if({which}, {BIT}, 0L)) AS bits{i}") for i, which in enumerate(sets)])
 
 
-def bit_set(keys: DataFrame) -> np.ndarray:
-    """The 2 ** 20 cells of the keys in column ``k``."""
-    rows = _cells(keys).toPandas()
-    out = np.zeros(1 << (64 - CELL_SHIFT), np.uint64)
-    out[rows["cell"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(np.uint64)
+def bit_sets(keys: DataFrame, *sets: str) -> list[np.ndarray]:
+    """The 2 ** 20 cells of the keys in column ``k`` that fulfil each condition, found in one pass."""
+    rows = _cells(keys, *sets).toPandas()
+    out = []
+    for i in range(len(sets)):
+        cells = np.zeros(1 << (64 - CELL_SHIFT), np.uint64)
+        cells[rows["cell"].to_numpy(np.int64)] = rows[f"bits{i}"].to_numpy(np.int64).view(np.uint64)
+        out.append(cells)
     return out
 
 
@@ -198,8 +205,8 @@ def small(df: DataFrame) -> tuple[DataFrame, bool]:
     return (F.broadcast(table) if fits else table), fits
 
 
-def grown(rows: DataFrame, below: DataFrame) -> DataFrame:
-    """(c, g, n, p, retained, rest): the candidates among contexts, their grams' probabilities, and what a state leaves to its suffix.
+def grown(rows: DataFrame, below: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(g, n, p, retained) of the grams of candidate contexts, and (c, rest): what retained states leave to their suffixes.
 
     ``below``: (g, p) of the next shorter grams, in the states of their own longest retained suffixes.
     """
@@ -210,9 +217,9 @@ def grown(rows: DataFrame, below: DataFrame) -> DataFrame:
         F.col("c").alias("k"), "t", "kinds", (F.col("fit") - F.col("t") * F.log("t") >= GAIN * F.col("kinds")).alias("retained")))
     whole = F.col("t") + F.col("kinds")
     level = judged.join(tested, F.col("c") == F.col("k")).select(
-        "c", F.expr(GRAM), "n", F.when(F.col("retained"), (F.col("n") + F.col("kinds") * F.col("q")) / whole).otherwise(F.col("q")).alias("p"),
-        "retained", (F.col("kinds") / whole).alias("rest"))
-    return level if fits else pin(level)
+        F.expr(GRAM), "n", F.when(F.col("retained"), (F.col("n") + F.col("kinds") * F.col("q")) / whole).otherwise(F.col("q")).alias("p"), "retained")
+    states = tested.where("retained").select(F.col("k").alias("c"), (F.col("kinds") / whole).alias("rest"))
+    return level if fits else pin(level), states
 
 
 def token_scores(at: np.ndarray, symbol: np.ndarray, root: np.ndarray, found: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -287,32 +294,30 @@ def score(docs: DataFrame) -> DataFrame:
 
     # symbols of their own are all words whose bit is set, be it by another word
     often = roots.where("often").select(F.col("g").alias("k"))
-    own = spark.sparkContext.broadcast(bit_set(often))
-    cells = _cells(often)
+    own = spark.sparkContext.broadcast(bit_sets(often, "true")[0])
+    cells = _cells(often, "true")
     named = roots.join(cells, F.shiftrightunsigned("g", CELL_SHIFT) == F.col("cell"), "left").select(
-        "g", "p", F.expr(f"g = {END_KEY} OR coalesce(shiftrightunsigned(bits, int(shiftrightunsigned(g, {BIT_SHIFT}) & 63)) & 1 = 1, false)").alias("own"))
+        "g", "p", F.expr(f"g = {END_KEY} OR coalesce(shiftrightunsigned(bits0, int(shiftrightunsigned(g, {BIT_SHIFT}) & 63)) & 1 = 1, false)").alias("own"))
     shared = unseen + (named.where("NOT own").agg(F.sum("p")).first()[0] or 0.0)
     below, _ = small(named.where("own").select("g", "p").unionByName(
         spark.range(1).select(F.lit(int(SHARED_KEY)).cast("bigint").alias("g"), F.lit(shared).alias("p"))))
 
-    levels, shorter = [], None
+    no_count = F.lit(None).cast("bigint").alias("c")
+    in_tree, found, shorter = np.zeros(1 << (64 - CELL_SHIFT), np.uint64), [], None
     for depth in range(1, DEPTH + 1):
-        level = grown(gram_counts(distinct, depth, own, shorter), below)
-        levels.append(level.where("retained"))
-        below = level.select("g", "p")
-        if depth < DEPTH:
-            shorter = spark.sparkContext.broadcast(bit_set(level.where(F.col("n") >= MIN_COUNT).select(F.col("g").alias("k"))))
-    known = [counts.select(F.col("word").alias("k"), "c", F.log10((1 - unseen) * F.col("u") / max(1, tokens)).alias("v"))]
-    for level in levels:
-        known.append(level.select(F.col("g").alias("k"), F.lit(None).cast("bigint").alias("c"), F.log10("p").alias("v")))
-        known.append(level.groupBy("c").agg(F.log10(F.max("rest")).alias("v")).select(F.col("c").alias("k"), F.lit(None).cast("bigint").alias("c"), "v"))
-    states = reduce(DataFrame.unionByName, known[1:])
-    tree = spark.sparkContext.broadcast(bit_set(states.select("k")))
+        level, states = grown(gram_counts(distinct, depth, own, shorter), below)
+        often, grams = bit_sets(level.withColumnRenamed("g", "k"), f"n >= {MIN_COUNT}", "retained")
+        in_tree |= grams | bit_sets(states.withColumnRenamed("c", "k"), "true")[0]
+        shorter, below = spark.sparkContext.broadcast(often), level.select("g", "p")
+        found.append(level.where("retained").select(F.col("g").alias("k"), no_count, F.log10("p").alias("v")))
+        found.append(states.select(F.col("c").alias("k"), no_count, F.log10("rest").alias("v")))
+    words = counts.select(F.col("word").alias("k"), "c", F.log10((1 - unseen) * F.col("u") / max(1, tokens)).alias("v"))
+    tree = spark.sparkContext.broadcast(in_tree)
 
     # dealt by block once: both sides of the last step read this exchange
     marked = docs.select("doc_id", "text", _block(blocks).alias("block")).repartition("block")
     asked = block_keys(marked.sortWithinPartitions("block"), own, tree)
-    answered = asked.join(known[0].unionByName(states), F.col("key") == F.col("k")).select("block", "key", "c", "v")
+    answered = asked.join(reduce(DataFrame.unionByName, found, words), F.col("key") == F.col("k")).select("block", "key", "c", "v")
 
     doc_id = pa.field("doc_id", to_arrow_type(docs.schema["doc_id"].dataType))
     fields = pa.schema([doc_id, ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
