@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.formulas import OPERATORS, number_text, shape
@@ -529,9 +529,6 @@ def formula_gap(spark, sf_dir):
     return rounds(extraction.gap_rmse(impressions(spark, sf_dir), "p_click", score, ["split"]), "gap_rmse")
 
 
-FIELD_NO = {"click": 0, "login": 1, "purchase": 2, "scroll": 3, "signup": 4, "view": 5}
-
-
 @query("F10", with_ctes(*CHAIN, SUMMARY) + """, placed AS (SELECT seed, accepted, formula,
   dense_rank() OVER (ORDER BY field_name) - 1 AS p FROM summary)
   SELECT seed, CASE WHEN count(*) FILTER (WHERE accepted) = 0 THEN 'No accepted operators found.' ELSE
@@ -540,9 +537,9 @@ FIELD_NO = {"click": 0, "login": 1, "purchase": 2, "scroll": 3, "signup": 4, "vi
   AS formula_text FROM placed GROUP BY seed""")
 def scoring_text(spark, sf_dir):
     summary = summary_of(spark, sf_dir)
-    names = sorted(r.event_type for r in fx.table(spark, sf_dir, "events").select("event_type").distinct().collect())
-    position = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("field_name")) - 1
-    return reports.field_formula_text(summary, position.cast("int"))
+    # one row per field of a model
+    placed = summary.select("field_name").distinct().withColumn("p", F.row_number().over(Window.orderBy("field_name")) - 1)
+    return reports.field_formula_text(summary.join(placed, "field_name"), F.col("p"))
 
 
 @query("F11", with_ctes(CURVES) + f"""SELECT seed, field_name, dim,
