@@ -258,6 +258,7 @@ def artifact_manifest(spark, sf_dir):
     df = impressions(spark, sf_dir)
     artifacts = {"impressions": df, "items": fx.item_metadata(spark, sf_dir)}
     stored = guards.manifest(spark, artifacts, NUMERIC, fx.CATEGORIES, {"C1": 3}, {"seed": "42"})
-    shuffled = {"impressions": df.repartition(3), "items": artifacts["items"]}
+    # another layout, whose tasks are as many as the rows need
+    shuffled = {"impressions": df.repartition("l_partkey", "l_linenumber"), "items": artifacts["items"]}
     guards.check_manifest(stored, shuffled, NUMERIC)
     return stored
