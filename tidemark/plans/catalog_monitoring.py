@@ -14,6 +14,7 @@ from tidemark.plans.catalog_formulas import rounds, sql_round
 from tidemark.plans.fixtures import DRIFT_FIELDS, IMPRESSIONS, NUMERIC, STD, impressions, r6, with_ctes
 from tidemark.plans.registry import query
 from tidemark.operators import normalise
+from tidemark.session import pin
 
 METRIC_NUMBERS = ("ctr_observed", "ctr_predicted", "logloss", "auc")
 
@@ -85,9 +86,17 @@ RANGES = {
 N_BINS = 10
 
 
+def _watched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What drift looks at, written once: reference and report read it several times."""
+    return pin(impressions(spark, sf_dir).select("batch_id", *DRIFT_FIELDS))
+
+
+def _reference(rows: DataFrame) -> drift.DriftReference:
+    return drift.fit_reference(rows.filter(F.col("batch_id") < fx.REFERENCE_BATCHES), DRIFT_FIELDS, N_BINS, RANGES)
+
+
 def reference_of(spark: SparkSession, sf_dir: str) -> drift.DriftReference:
-    early = impressions(spark, sf_dir).filter(F.col("batch_id") < fx.REFERENCE_BATCHES)
-    return drift.fit_reference(early, DRIFT_FIELDS, N_BINS, RANGES)
+    return _reference(_watched(spark, sf_dir))
 
 
 _DECILES = ", ".join(str(k / N_BINS) for k in range(1, N_BINS))
@@ -123,7 +132,8 @@ DRIFT_NUMBERS = ("psi", "coverage", "share_below", "share_above", "cal_low", "ca
 
 
 def drift_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drift.drift_report(impressions(spark, sf_dir), reference_of(spark, sf_dir), ["batch_id"])
+    rows = _watched(spark, sf_dir)
+    return pin(drift.drift_report(rows, _reference(rows), ["batch_id"]))  # a row per batch and field
 
 
 REFERENCE_ROWS = f"""SELECT e.field, CAST(e.bin AS INT) AS bin, {r6('share')} AS expected,
