@@ -36,7 +36,8 @@ def random_sample(df: DataFrame, n_rows: int, seed: int, keys: Sequence[str] = (
     room = slots.select(
         "_slot", F.lit(n_rows) - F.coalesce(F.sum("_rows").over(upto), F.lit(0)), "_rows"
     ).toDF("_slot", "_room", "_rows")
-    kept = slotted.join(F.broadcast(room.filter(F.col("_room") > 0)), "_slot")
+    # the rows drawn and one slot more: written once for both parts
+    kept = pin(slotted.join(F.broadcast(room.filter(F.col("_room") > 0)), "_slot"))
     whole = kept.filter(F.col("_rows") <= F.col("_room"))
     # the one slot that is cut: 1/65,536 of the drawn rows
     order = Window.partitionBy("_slot").orderBy("_u", F.xxhash64(*df.columns))
