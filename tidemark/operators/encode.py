@@ -126,7 +126,7 @@ def apply_index_maps(
 
 
 def apply_index_maps_wide(
-    df: DataFrame, maps: IndexMaps, columns: Sequence[str], row_id: str | None = None
+    df: DataFrame, maps: IndexMaps, columns: Sequence[str], row_id: str | None = None, at_once: int = 0
 ) -> DataFrame:
     """As :func:`apply_index_maps`, all columns in one pass.
 
@@ -136,7 +136,21 @@ def apply_index_maps_wide(
     the adaptive skew join splits a hot value, and nulls and unseen values never get
     that far.  ``row_id`` names a column of unique whole numbers; without one the rows are
     pinned under generated ids.
+
+    The smallest maps, up to ``at_once`` values together, are sent to every task instead:
+    their cells are then neither written nor shuffled.
     """
+    if at_once:
+        sent, left = [], at_once
+        for c in sorted(columns, key=lambda c: maps.sizes[c]):
+            left -= maps.sizes[c]
+            if left >= 0:
+                sent.append(c)
+        rest = [c for c in columns if c not in sent]
+        out = apply_index_maps_wide(df, maps, rest, row_id) if rest else df
+        for c in sent:  # the sizes are counted, so the hint stands on a proven bound
+            out = _apply_one(out, IndexMaps(F.broadcast(maps.table), maps.sizes), c)
+        return out.select(*df.columns, *[f"{c}_idx" for c in columns])
     rid = row_id or "_row"
     rows = df if row_id else pin(df.withColumn(rid, F.monotonically_increasing_id()))
     cells = F.array(
