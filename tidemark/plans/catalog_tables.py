@@ -18,7 +18,7 @@ from tidemark.plans.fixtures import (
 )
 from tidemark.plans.ingest import fit_artifacts
 from tidemark.plans.registry import query
-from tidemark.session import scratch_path
+from tidemark.session import pin, scratch_path
 from tidemark.sources import envelope, shape, tables
 from tidemark.sources.schemas import envelope_schema, raw_schema
 from tidemark.sources.upsert import latest_per_key, upsert
@@ -168,16 +168,22 @@ def _envelopes(df: DataFrame) -> DataFrame:
     )
 
 
+#: Rows of an inbox file, so that files and the tasks that write them grow with the table.
+INBOX_ROWS = 500_000
+
+
 def drained(spark: SparkSession, sf_dir: str) -> Sinks:
     """All impressions as a stream of parquet files, drained in several micro-batches."""
-    df = impressions(spark, sf_dir)
+    # written once: artifacts, reference and inbox read it five times
+    df = pin(impressions(spark, sf_dir).select("l_orderkey", "label", *NUMERIC, *CATEGORIES, "split"))
     train = df.filter(F.col("split") == "train")
     artifacts = fit_artifacts(train, LOG, STD, CATEGORIES)
     reference = drift.fit_reference(artifacts.apply_numeric(train), NUMERIC)
     inbox, root = scratch_path(spark, "inbox"), scratch_path(spark, "drained")
-    _envelopes(df).repartition(6).write.parquet(inbox)
+    files = max(6, -(-df.count() // INBOX_ROWS))
+    _envelopes(df).repartition(files).write.parquet(inbox)
     job = BatchJob(artifacts, _score, reference, "linear@fixed", "parquet", Sinks(root))
-    stream = parquet_stream(spark, inbox, envelope_schema(NUMERIC, CATEGORIES), files_per_trigger=2)
+    stream = parquet_stream(spark, inbox, envelope_schema(NUMERIC, CATEGORIES), files_per_trigger=-(-files // 3))
     drain(stream, job, f"{root}/offsets")
     return job.sinks
 
