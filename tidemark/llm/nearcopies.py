@@ -1,11 +1,19 @@
-"""Near copies by shared word shingles: banded minima, exact check, components.
-
-Two texts are near copies if the Jaccard similarity of their sets of ``WORDS``-word
-shingles is ``LEAST`` or more.  64-bit fingerprints cannot find those: at 0.8 they
-differ by 10 bits on average, by 16 and more in the tail, where unrelated ones begin.
-Candidates are therefore texts that agree in all ``ROWS`` minima of one of ``BANDS``
-bands; a pair at 0.8 exactly is missed with a chance of 7e-5, closer pairs less.
-Every candidate pair is checked on the whole shingle sets.
+"""Near copies by SimHash fingerprints and by shared word shingles; exact check, components.
+
+Fingerprints (``simhash``) link texts that differ in two bits or fewer, as they stand.
+64 bits do not reach further copies: texts whose sets of ``WORDS``-word shingles have a
+Jaccard similarity of ``LEAST`` differ by 10 bits on average, by 16 and more in the tail,
+where unrelated ones begin.  So every pair of that similarity or more is linked too.
+
+Such a pair shares one of the first shingles of both texts, in any order that is the
+same for all texts: with n and m shingles they share LEAST / (1 + LEAST) * (n + m), so no
+more than the rest may come before the first shared one.  A text is posted under its
+first fifth of shingles with their places, and pairs whose places allow no such overlap
+are never formed, nor those whose sets differ in too many shingles by the parities of a
+few hundred places.  No pair is missed, whatever the order.  The order counted here puts
+frequent shingles last, so that a passage common to many texts makes no cell unless it
+is nearly all of them.  Counts are kept in ``BUCKETS`` buckets; two shingles in
+one bucket cost work, not results.  Every candidate pair is checked on the whole sets.
 
 Crowded cells: texts of equal sets are one node.  Every member of a cell is first
 checked against one leader of the cell, which links a group of copies without its
@@ -26,19 +34,20 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm import simhash
 from tidemark.llm.batches import released, slices
 from tidemark.llm.components import connected_components
-from tidemark.llm.simhash import LOWER, row_key
+from tidemark.llm.simhash import LOWER, fingerprint, row_key
 from tidemark.session import pin
 
 WORDS, LEAST = 5, 0.8
-BANDS, ROWS = 24, 5
 #: Members from which a cell gets further leaders before its pairs are formed.
 CROWDED, LEADERS = 48, 4
-
-_RANDOM = np.random.default_rng(5)
-_FLIP = _RANDOM.integers(0, 1 << 32, (BANDS * ROWS, 1), np.uint32)
-_TIMES = _RANDOM.integers(0, 1 << 32, (BANDS * ROWS, 1), np.uint32) | np.uint32(1)
+#: Buckets of shingle counts, found by a hash's highest bits, and buckets in a row on their way to the driver.
+BUCKETS, PACKED = 1 << 22, 1 << 12
+SHIFT = np.uint64(64 - 22)
+#: Bits of the parities that a pair is held against before it is formed.
+PARITIES = 512
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -56,18 +65,21 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     return np.unique(out)
 
 
-def bands(own: np.ndarray) -> list[int]:
-    """One signed number a band: a hash of its minima.  None of an empty set."""
+def first_ones(own: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """The shingles one of which two similar texts share: the first fifth, rare ones first."""
     if not len(own):
-        return []
-    short = (own >> np.uint64(32)).astype(np.uint32)
-    least = np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
-    for a in range(0, len(short), 1 << 11):
-        mixed = (short[a : a + (1 << 11)] ^ _FLIP) * _TIMES
-        mixed ^= mixed >> np.uint32(15)
-        np.minimum(least, (mixed * np.uint32(0x2C1B3C6D)).min(1), out=least)
-    rows = least.reshape(BANDS, ROWS)
-    return [xxhash.xxh64_intdigest(rows[i].tobytes(), i) - (1 << 63) for i in range(BANDS)]
+        return own
+    order = np.argsort(levels[own >> SHIFT], kind="stable")
+    return own[order[: int((1 - LEAST) * len(own) + 1e-6) + 1]]
+
+
+def parities(own: np.ndarray) -> np.ndarray:
+    """Whether odd numbers of shingles fall on each of ``PARITIES`` places, as signed longs.
+
+    Two sets differ in at least as many shingles as their parities differ in bits.
+    """
+    odd = np.bincount((own & np.uint64(PARITIES - 1)).astype(np.int64), minlength=PARITIES).astype(np.uint8) & 1
+    return np.packbits(odd).view(np.int64)
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -81,37 +93,69 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
+def shingle_levels(docs: DataFrame) -> np.ndarray:
+    """For each bucket, twice the binary logarithm of how many texts hold its shingles, rounded down."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        released()
+        counts = np.zeros(BUCKETS, np.uint32)
+        for batch in slices(batches):
+            for t in batch.column("text").to_pylist():
+                np.add.at(counts, shingles(t) >> SHIFT, 1)
+        rows = [x.tobytes() for x in counts.reshape(-1, PACKED) if x.any()]
+        part = np.flatnonzero(counts.reshape(-1, PACKED).any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(rows, pa.binary())], ["part", "counts"])
+
+    def add(key: tuple, rows: pa.Table) -> pa.Table:
+        total = np.zeros(PACKED, np.uint64)
+        for x in rows.column("counts"):
+            total += np.frombuffer(x.as_buffer(), np.uint32)
+        levels = np.floor(2 * np.log2(np.maximum(total, 1))).astype(np.uint8)
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int64()), "levels": pa.array([levels.tobytes()], pa.binary())})
+
+    counted = docs.select("text").mapInArrow(run, "part bigint, counts binary")
+    out = np.zeros(BUCKETS, np.uint8)
+    for part, levels in counted.groupBy("part").applyInArrow(add, "part bigint, levels binary").collect():
+        out[part * PACKED : (part + 1) * PACKED] = np.frombuffer(levels, np.uint8)
+    return out
+
+
 def marks(docs: DataFrame) -> DataFrame:
-    """(doc_id, row_key, node, n, bands): a hash of the shingle set, its size and bands."""
+    """(doc_id, row_key, fp, node, n, firsts): fingerprint, a hash of the shingle set, its size and its first shingles."""
+    levels = docs.sparkSession.sparkContext.broadcast(shingle_levels(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         released()
         for batch in slices(batches):
-            node, n, own = [], [], []
+            fp, node, n, firsts = [], [], [], []
             for t in batch.column("text").to_pylist():
                 s = shingles(t)
+                fp.append(fingerprint(t))
                 node.append(xxhash.xxh64_intdigest(s.tobytes(), 42) - (1 << 63))
                 n.append(len(s))
-                own.append(bands(s))
+                firsts.append(first_ones(s, levels.value).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("row_key"), pa.array(node, pa.int64()), pa.array(n, pa.int64()),
-                 pa.array(own, pa.list_(pa.int64()))], ["doc_id", "row_key", "node", "n", "bands"])
+                [batch.column("doc_id"), batch.column("row_key"), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(node, pa.int64()),
+                 pa.array(n, pa.int64()), pa.array(firsts, pa.list_(pa.int64()))], ["doc_id", "row_key", "fp", "node", "n", "firsts"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", row_key().alias("row_key"), "text").mapInArrow(
-        run, f"doc_id {kind}, row_key bigint, node bigint, n bigint, bands array<bigint>")
+        run, f"doc_id {kind}, row_key bigint, fp bigint, node bigint, n bigint, firsts array<bigint>")
 
 
 def sets_of(docs: DataFrame, first: DataFrame) -> DataFrame:
-    """(node, own): the shingle hashes of each node of ``first`` (node, row_key) as bytes."""
+    """(node, own, odd): of each node of ``first`` (node, row_key) the shingle hashes as bytes, and their parities."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            own = [shingles(t).tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(own, pa.binary())], ["node", "own"])
+            own = [shingles(t) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("node"), pa.array([x.tobytes() for x in own], pa.binary()),
+                 pa.array([parities(x) for x in own], pa.list_(pa.int64()))], ["node", "own", "odd"])
 
     texts = docs.select(row_key().alias("row_key"), "text").join(first, "row_key").select("node", "text")
-    return texts.mapInArrow(run, "node bigint, own binary").groupBy("node").agg(F.first("own").alias("own"))
+    return texts.mapInArrow(run, "node bigint, own binary, odd array<bigint>").groupBy("node").agg(
+        F.first("own").alias("own"), F.first("odd").alias("odd"))
 
 
 def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -127,42 +171,65 @@ def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(run, "u bigint, v bigint")
 
 
-def _sizes_fit(a: Column, b: Column) -> Column:
-    return F.least(a, b) >= F.greatest(a, b) * LEAST - 1e-6
+def _may_reach(n: Column, at: Column, m: Column, to: Column) -> Column:
+    """Whether sets of n and m shingles can be similar if the first shared one is at these places."""
+    return F.least(n - at, m - to) >= (n + m) * (LEAST / (1 + LEAST)) - 1e-6
+
+
+def _parities_allow(n: Column, odd: Column, m: Column, other: Column) -> Column:
+    """Whether similar sets of n and m shingles can have these parities."""
+    differ = sum((F.bit_count(odd[i].bitwiseXOR(other[i])) for i in range(PARITIES // 64)), F.lit(0))
+    return differ <= (n + m) * ((1 - LEAST) / (1 + LEAST)) + 1e-6
+
+
+def alike_prints(marked: DataFrame) -> DataFrame:
+    """Edges (u, v) of nodes whose fingerprints are equal or differ in two bits or fewer."""
+    held = pin(marked.select("fp", "node").distinct())
+    named = pin(held.groupBy("fp").agg(F.min("node").alias("first")))
+    same = held.join(named, "fp").where("node <> first").select(F.col("node").alias("u"), F.col("first").alias("v"))
+    a, b = (named.select(F.col("fp").alias(k), F.col("first").alias(c)) for k, c in (("u", "a"), ("v", "b")))
+    near = simhash.links(named.select("fp")).join(a, "u").join(b, "v").where("a <> b")
+    return same.unionByName(near.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
 
 def links(docs: DataFrame, marked: DataFrame) -> DataFrame:
     """(node, root) of the components of near copies; nodes without an edge are left out."""
-    nodes = marked.groupBy("node").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.min("row_key").alias("row_key"))
-    posted = nodes.select("node", "n", "row_key", F.explode("bands").alias("cell"))
+    edges = pin(alike_prints(marked))
+    graph = pin(connected_components(edges))
+
+    nodes = marked.groupBy("node").agg(F.first("n").alias("n"), F.first("firsts").alias("firsts"), F.min("row_key").alias("row_key"))
+    posted = nodes.select("node", "n", "row_key", F.posexplode("firsts").alias("at", "cell")).repartition("cell")
     sizes = posted.groupBy("cell").agg(F.count("*").alias("size")).where("size > 1")
-    cells = pin(posted.join(sizes, "cell"))
+    cells = pin(_open(pin(posted.join(sizes, "cell")), graph).drop("comp"))
     sets = pin(sets_of(docs, cells.select("node", "row_key").distinct()))
     cells = cells.drop("row_key")
 
-    edges, graph, tried = None, None, None
+    tried = None
     for turn in range(LEADERS):
-        now = cells
-        if graph is not None:
-            now = _open(cells, graph).where(F.col("size") > CROWDED)
-        lead = now.groupBy("cell").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)), F.col("node"), F.col("n"))).alias("_lead"))
-        pairs = now.join(lead, "cell").where((F.col("node") != F.col("_lead.node")) & _sizes_fit(F.col("n"), F.col("_lead.n")))
+        now = _open(cells, graph)
+        if turn:
+            now = now.where(F.col("size") > CROWDED)
+        lead = now.groupBy("cell").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "n", "at", "comp")).alias("_lead"))
+        pairs = now.join(lead, "cell").where(
+            (F.col("comp") != F.col("_lead.comp")) & _may_reach(F.col("n"), F.col("at"), F.col("_lead.n"), F.col("_lead.at")))
         pairs = pairs.select(F.least("node", "_lead.node").alias("u"), F.greatest("node", "_lead.node").alias("v")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["u", "v"], "left_anti")
         pairs = pin(pairs)
-        if graph is not None and pairs.isEmpty():
+        if pairs.isEmpty():
             break
         tried = pairs if tried is None else tried.unionByName(pairs)
-        found = pin(alike(pairs, sets))
-        edges = found if edges is None else edges.unionByName(found)
+        edges = edges.unionByName(pin(alike(pairs, sets)))
         graph = pin(connected_components(edges))
 
-    rest = _open(cells, graph)
-    a = rest.select("cell", F.col("node").alias("u"), F.col("n").alias("nu"), F.col("comp").alias("cu"))
-    b = rest.select("cell", F.col("node").alias("v"), F.col("n").alias("nv"), F.col("comp").alias("cv"))
-    pairs = a.join(b, "cell").where((F.col("u") < F.col("v")) & (F.col("cu") != F.col("cv")) & _sizes_fit(F.col("nu"), F.col("nv")))
-    pairs = pin(pairs.select("u", "v").distinct().join(tried, ["u", "v"], "left_anti"))
+    rest = _open(cells, graph).join(sets.select("node", "odd"), "node")
+    a, b = (rest.select("cell", *[F.col(c).alias(c + k) for c in ("node", "n", "at", "comp", "odd")]) for k in "uv")
+    pairs = a.join(b, "cell").where(
+        (F.col("nodeu") < F.col("nodev")) & (F.col("compu") != F.col("compv"))
+        & _may_reach(F.col("nu"), F.col("atu"), F.col("nv"), F.col("atv"))
+        & _parities_allow(F.col("nu"), F.col("oddu"), F.col("nv"), F.col("oddv"))).withColumnsRenamed({"nodeu": "u", "nodev": "v"})
+    pairs = pairs.select("u", "v").distinct()
+    pairs = pin(pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti"))
     if pairs.isEmpty():
         return graph
     return connected_components(edges.unionByName(pin(alike(pairs, sets))))
