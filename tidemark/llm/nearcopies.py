@@ -31,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import simhash
@@ -153,9 +153,9 @@ def sets_of(docs: DataFrame, first: DataFrame) -> DataFrame:
                 [batch.column("node"), pa.array([x.tobytes() for x in own], pa.binary()),
                  pa.array([parities(x) for x in own], pa.list_(pa.int64()))], ["node", "own", "odd"])
 
-    texts = docs.select(row_key().alias("row_key"), "text").join(first, "row_key").select("node", "text")
-    return texts.mapInArrow(run, "node bigint, own binary, odd array<bigint>").groupBy("node").agg(
-        F.first("own").alias("own"), F.first("odd").alias("odd"))
+    # rows repeated are dropped as texts, which take less room in an exchange than their sets
+    texts = docs.select(row_key().alias("row_key"), "text").join(first, "row_key").dropDuplicates(["row_key"]).select("node", "text")
+    return texts.mapInArrow(run, "node bigint, own binary, odd array<bigint>")
 
 
 def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -167,8 +167,9 @@ def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             keep = pa.array([similarity(x, y) >= LEAST for x, y in zip(a, b)], pa.bool_())
             yield batch.select(["u", "v"]).filter(keep)
 
-    a, b = (sets.select(F.col("node").alias(k), F.col("own").alias(c)) for k, c in (("u", "a"), ("v", "b")))
-    return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(run, "u bigint, v bigint")
+    # each side is looked up from the pairs alone, so that few pairs do not send all sets
+    a, b = (pairs.join(sets.select(F.col("node").alias(k), F.col("own").alias(c)), k) for k, c in (("u", "a"), ("v", "b")))
+    return a.join(b, ["u", "v"]).select("u", "v", "a", "b").mapInArrow(run, "u bigint, v bigint")
 
 
 def _may_reach(n: Column, at: Column, m: Column, to: Column) -> Column:
@@ -197,12 +198,13 @@ def links(docs: DataFrame, marked: DataFrame) -> DataFrame:
     edges = pin(alike_prints(marked))
     graph = pin(connected_components(edges))
 
-    nodes = marked.groupBy("node").agg(F.first("n").alias("n"), F.first("firsts").alias("firsts"), F.min("row_key").alias("row_key"))
-    posted = nodes.select("node", "n", "row_key", F.posexplode("firsts").alias("at", "cell")).repartition("cell")
-    sizes = posted.groupBy("cell").agg(F.count("*").alias("size")).where("size > 1")
-    cells = pin(_open(pin(posted.join(sizes, "cell")), graph).drop("comp"))
-    sets = pin(sets_of(docs, cells.select("node", "row_key").distinct()))
-    cells = cells.drop("row_key")
+    # one exchange by cell: whoever is alone in one goes no further
+    nodes = marked.groupBy("node").agg(F.first("n").cast("int").alias("n"), F.first("firsts").alias("firsts"))
+    posted = nodes.select("node", "n", F.posexplode("firsts").alias("at", "cell"))
+    sized = posted.withColumn("size", F.count("*").over(Window.partitionBy("cell"))).where("size > 1")
+    cells = pin(_open(pin(sized), graph).drop("comp"))
+    keys = marked.groupBy("node").agg(F.min("row_key").alias("row_key"))
+    sets = pin(sets_of(docs, cells.select("node").distinct().join(keys, "node")))
 
     tried = None
     for turn in range(LEADERS):
