@@ -66,3 +66,25 @@ def test_bounds_only_pass_too_many():
         first, second = nearcopies.first_ones(a, levels), nearcopies.first_ones(b, levels)
         at, to = next((i, list(second).index(x)) for i, x in enumerate(first) if x in second)
         assert min(len(a) - at, len(b) - to) >= 0.8 / 1.8 * (len(a) + len(b)) - 1e-6
+
+
+def sent_bytes(spark):
+    executors = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+    return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
+
+
+@pytest.mark.parametrize("most", [100_000, 0])
+def test_only_texts_of_pairs_are_sent(spark, monkeypatch, most):
+    rng = random.Random(8)
+    monkeypatch.setattr(nearcopies, "BROADCAST_ROWS", most, raising=False)
+    texts = [" ".join("%030x" % rng.getrandbits(120) for _ in range(1000)) for _ in range(300)]
+    for k in (3, 40):  # near copies, changed in as many words
+        words = texts[k].split()
+        words[::150] = ["changed"] * len(words[::150])
+        texts.append(" ".join(words))
+    docs = table(spark, texts)
+    docs = docs.unionByName(docs.where("doc_id = 7")).localCheckpoint()  # a row twice
+    before = sent_bytes(spark)
+    kept = sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect())
+    assert kept == list(range(300))
+    assert sent_bytes(spark) - before < 0.5 * sum(map(len, texts))

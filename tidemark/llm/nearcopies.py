@@ -26,7 +26,8 @@ fewer than ``WORDS`` words make one shingle.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,7 @@ from tidemark.llm import simhash
 from tidemark.llm.batches import released, slices
 from tidemark.llm.components import connected_components
 from tidemark.llm.simhash import LOWER, fingerprint, row_key
+from tidemark.llm.suffixtree import BROADCAST_ROWS, bit_sets, maybe_in
 from tidemark.session import pin
 
 WORDS, LEAST = 5, 0.8
@@ -102,14 +104,15 @@ def shingle_levels(docs: DataFrame) -> np.ndarray:
         for batch in slices(batches):
             for t in batch.column("text").to_pylist():
                 np.add.at(counts, shingles(t) >> SHIFT, 1)
-        rows = [x.tobytes() for x in counts.reshape(-1, PACKED) if x.any()]
         part = np.flatnonzero(counts.reshape(-1, PACKED).any(1))
+        # most counts of a task are 0 or 1
+        rows = [zlib.compress(x.tobytes(), 1) for x in counts.reshape(-1, PACKED)[part]]
         yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(rows, pa.binary())], ["part", "counts"])
 
     def add(key: tuple, rows: pa.Table) -> pa.Table:
         total = np.zeros(PACKED, np.uint64)
         for x in rows.column("counts"):
-            total += np.frombuffer(x.as_buffer(), np.uint32)
+            total += np.frombuffer(zlib.decompress(x.as_buffer()), np.uint32)
         levels = np.floor(2 * np.log2(np.maximum(total, 1))).astype(np.uint8)
         return pa.table({"part": pa.array([key[0].as_py()], pa.int64()), "levels": pa.array([levels.tobytes()], pa.binary())})
 
@@ -120,56 +123,90 @@ def shingle_levels(docs: DataFrame) -> np.ndarray:
     return out
 
 
+def _node(own: np.ndarray) -> int:
+    """The node of a text: a hash of its set of shingles."""
+    return xxhash.xxh64_intdigest(own.tobytes(), 42) - (1 << 63)
+
+
 def marks(docs: DataFrame) -> DataFrame:
-    """(doc_id, row_key, fp, node, n, firsts): fingerprint, a hash of the shingle set, its size and its first shingles."""
-    levels = docs.sparkSession.sparkContext.broadcast(shingle_levels(docs))
+    """(doc_id, row_key, fp, node, n, odd): fingerprint, a hash of the shingle set, its size and its parities."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         released()
         for batch in slices(batches):
-            fp, node, n, firsts = [], [], [], []
+            fp, node, n, odd = [], [], [], []
             for t in batch.column("text").to_pylist():
                 s = shingles(t)
                 fp.append(fingerprint(t))
-                node.append(xxhash.xxh64_intdigest(s.tobytes(), 42) - (1 << 63))
+                node.append(_node(s))
                 n.append(len(s))
-                firsts.append(first_ones(s, levels.value).view(np.int64))
+                odd.append(parities(s))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("row_key"), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(node, pa.int64()),
-                 pa.array(n, pa.int64()), pa.array(firsts, pa.list_(pa.int64()))], ["doc_id", "row_key", "fp", "node", "n", "firsts"])
+                 pa.array(n, pa.int64()), pa.array(odd, pa.list_(pa.int64()))], ["doc_id", "row_key", "fp", "node", "n", "odd"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", row_key().alias("row_key"), "text").mapInArrow(
-        run, f"doc_id {kind}, row_key bigint, fp bigint, node bigint, n bigint, firsts array<bigint>")
+        run, f"doc_id {kind}, row_key bigint, fp bigint, node bigint, n bigint, odd array<bigint>")
+
 
+def postings(docs: DataFrame) -> DataFrame:
+    """(cell, node, n, at): the first shingles of each text with their places, copies within a task left out.
 
-def sets_of(docs: DataFrame, first: DataFrame) -> DataFrame:
-    """(node, own, odd): of each node of ``first`` (node, row_key) the shingle hashes as bytes, and their parities."""
+    Shingles are made anew: sent along with the marks they would take more room than all else.
+    """
+    levels = docs.sparkSession.sparkContext.broadcast(shingle_levels(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        released()
+        posted: set[int] = set()
         for batch in slices(batches):
-            own = [shingles(t) for t in batch.column("text").to_pylist()]
+            cells, node, n = [np.zeros(0, np.uint64)], [], []
+            for t in batch.column("text").to_pylist():
+                s = shingles(t)
+                if (k := _node(s)) not in posted:
+                    posted.add(k)
+                    cells.append(first_ones(s, levels.value))
+                    node.append(k)
+                    n.append(len(s))
+            many = [len(c) for c in cells[1:]]
+            at = np.concatenate([np.zeros(0, np.int64), *[np.arange(m) for m in many]])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("node"), pa.array([x.tobytes() for x in own], pa.binary()),
-                 pa.array([parities(x) for x in own], pa.list_(pa.int64()))], ["node", "own", "odd"])
+                [pa.array(np.concatenate(cells).view(np.int64)), pa.array(np.repeat(np.array(node, np.int64), many)),
+                 pa.array(np.repeat(np.array(n, np.int32), many)), pa.array(at.astype(np.int32))], ["cell", "node", "n", "at"])
+
+    return docs.select("text").mapInArrow(run, "cell bigint, node bigint, n int, at int")
+
+
+def texts_of(docs: DataFrame, keys: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(node, text) of the nodes of ``pairs`` (u, v) by ``keys`` (node, row_key); other texts are not sent."""
+    wanted = pin(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(keys, "node"))
+    rows = docs.select(row_key().alias("row_key"), "text")
+    if wanted.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(wanted), "row_key").dropDuplicates(["row_key"]).select("node", "text")
+    bits = docs.sparkSession.sparkContext.broadcast(bit_sets(wanted.select(F.col("row_key").alias("k")), "true")[0])
 
-    # rows repeated are dropped as texts, which take less room in an exchange than their sets
-    texts = docs.select(row_key().alias("row_key"), "text").join(first, "row_key").dropDuplicates(["row_key"]).select("node", "text")
-    return texts.mapInArrow(run, "node bigint, own binary, odd array<bigint>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(maybe_in(bits.value, batch.column("row_key").to_numpy())))
 
+    maybe = rows.mapInArrow(run, "row_key bigint, text string")
+    return maybe.join(wanted, "row_key").dropDuplicates(["row_key"]).select("node", "text")
 
-def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (u, v) of nodes whose sets are similar by ``LEAST`` or more."""
+
+def alike(pairs: DataFrame, texts: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The pairs (u, v) of nodes whose sets are similar by ``LEAST`` or more; ``texts`` looks up the texts of pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = ([np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(c)] for c in ("a", "b"))
-            keep = pa.array([similarity(x, y) >= LEAST for x, y in zip(a, b)], pa.bool_())
-            yield batch.select(["u", "v"]).filter(keep)
+            for part in slices(iter([batch]), "a"):
+                both = zip(part.column("a").to_pylist(), part.column("b").to_pylist())
+                keep = pa.array([similarity(shingles(x), shingles(y)) >= LEAST for x, y in both], pa.bool_())
+                yield part.select(["u", "v"]).filter(keep)
 
-    # each side is looked up from the pairs alone, so that few pairs do not send all sets
-    a, b = (pairs.join(sets.select(F.col("node").alias(k), F.col("own").alias(c)), k) for k, c in (("u", "a"), ("v", "b")))
-    return a.join(b, ["u", "v"]).select("u", "v", "a", "b").mapInArrow(run, "u bigint, v bigint")
+    found = pin(texts(pairs))
+    a, b = (found.select(F.col("node").alias(k), F.col("text").alias(c)) for k, c in (("u", "a"), ("v", "b")))
+    return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(run, "u bigint, v bigint")
 
 
 def _may_reach(n: Column, at: Column, m: Column, to: Column) -> Column:
@@ -199,32 +236,32 @@ def links(docs: DataFrame, marked: DataFrame) -> DataFrame:
     graph = pin(connected_components(edges))
 
     # one exchange by cell: whoever is alone in one goes no further
-    nodes = marked.groupBy("node").agg(F.first("n").cast("int").alias("n"), F.first("firsts").alias("firsts"))
-    posted = nodes.select("node", "n", F.posexplode("firsts").alias("at", "cell"))
-    sized = posted.withColumn("size", F.count("*").over(Window.partitionBy("cell"))).where("size > 1")
-    cells = pin(_open(pin(sized), graph).drop("comp"))
-    keys = marked.groupBy("node").agg(F.min("row_key").alias("row_key"))
-    sets = pin(sets_of(docs, cells.select("node").distinct().join(keys, "node")))
+    cell = Window.partitionBy("cell")
+    posted = postings(docs).withColumn("before", F.lag("node").over(cell.orderBy("node"))).where("NOT node <=> before").drop("before")
+    sized = posted.withColumn("size", F.count("*").over(cell)).where("size > 1")
+    cells = pin(_open(pin(sized), graph).drop("comp", "lead"))
+    keys = pin(marked.groupBy("node").agg(F.min("row_key").alias("row_key")))
+
+    def texts(pairs: DataFrame) -> DataFrame:
+        return texts_of(docs, keys, pairs)
 
     tried = None
     for turn in range(LEADERS):
-        now = _open(cells, graph)
-        if turn:
-            now = now.where(F.col("size") > CROWDED)
-        lead = now.groupBy("cell").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "n", "at", "comp")).alias("_lead"))
-        pairs = now.join(lead, "cell").where(
-            (F.col("comp") != F.col("_lead.comp")) & _may_reach(F.col("n"), F.col("at"), F.col("_lead.n"), F.col("_lead.at")))
-        pairs = pairs.select(F.least("node", "_lead.node").alias("u"), F.greatest("node", "_lead.node").alias("v")).distinct()
+        now = _open(cells.where(F.col("size") > CROWDED) if turn else cells, graph, turn)
+        pairs = now.where(
+            (F.col("comp") != F.col("lead.comp")) & _may_reach(F.col("n"), F.col("at"), F.col("lead.n"), F.col("lead.at")))
+        pairs = pairs.select(F.least("node", "lead.node").alias("u"), F.greatest("node", "lead.node").alias("v")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["u", "v"], "left_anti")
         pairs = pin(pairs)
         if pairs.isEmpty():
             break
         tried = pairs if tried is None else tried.unionByName(pairs)
-        edges = edges.unionByName(pin(alike(pairs, sets)))
+        edges = edges.unionByName(pin(alike(pairs, texts)))
         graph = pin(connected_components(edges))
 
-    rest = _open(cells, graph).join(sets.select("node", "odd"), "node")
+    odd = marked.groupBy("node").agg(F.first("odd").alias("odd"))
+    rest = _open(cells, graph).join(odd, "node")
     a, b = (rest.select("cell", *[F.col(c).alias(c + k) for c in ("node", "n", "at", "comp", "odd")]) for k in "uv")
     pairs = a.join(b, "cell").where(
         (F.col("nodeu") < F.col("nodev")) & (F.col("compu") != F.col("compv"))
@@ -234,14 +271,16 @@ def links(docs: DataFrame, marked: DataFrame) -> DataFrame:
     pairs = pin(pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti"))
     if pairs.isEmpty():
         return graph
-    return connected_components(edges.unionByName(pin(alike(pairs, sets))))
+    return connected_components(edges.unionByName(pin(alike(pairs, texts))))
 
 
-def _open(cells: DataFrame, graph: DataFrame) -> DataFrame:
-    """``cells`` with each node's component, without cells of one component."""
+def _open(cells: DataFrame, graph: DataFrame, turn: int = 0) -> DataFrame:
+    """``cells`` with each node's component and the cell's leader of a turn, without cells of one component."""
     named = cells.join(graph, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
-    several = named.groupBy("cell").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("cell")
-    return named.join(several, "cell")
+    cell = Window.partitionBy("cell")
+    lead = F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "n", "at", "comp")).over(cell)
+    several = named.withColumns({"low": F.min("comp").over(cell), "high": F.max("comp").over(cell), "lead": lead}).where("low <> high")
+    return several.drop("low", "high")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
@@ -257,6 +296,10 @@ def keep_first(docs: DataFrame) -> DataFrame:
     roots = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
     named = pin(nodes.join(roots, "root").select("node", "root", "component_id"))
     found = marked.select("doc_id", "row_key", "node").join(named, "node").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    first = found.groupBy("root").agg(F.min("row_key").alias("_first")).select("_first")
-    kept = docs.withColumn("_key", row_key()).join(first, F.col("_key") == F.col("_first"), "left_semi")
-    return kept.dropDuplicates(["_key"]).select(*docs.columns)
+    first = found.groupBy("root").agg(F.min("row_key").alias("row_key")).select("row_key")
+    # only rows repeated with their id are sent to have one of them left
+    first = pin(marked.groupBy("row_key").agg(F.count("*").alias("times")).join(first, "row_key"))
+    keyed = docs.withColumn("_key", row_key())
+    once, more = (first.where(which).select(F.col("row_key").alias("_key")) for which in ("times = 1", "times > 1"))
+    kept = keyed.join(once, "_key", "left_semi").unionByName(keyed.join(more, "_key", "left_semi").dropDuplicates(["_key"]))
+    return kept.select(*docs.columns)
