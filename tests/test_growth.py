@@ -6,10 +6,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import encode, models, sampling
+from tidemark.operators import encode, models, ordered, sampling
 from tidemark.plans import catalog_models, catalog_monitoring, catalog_tables
 from tidemark.plans import fixtures as fx
-from tidemark.session import shared_dir
+from tidemark.session import pin, shared_dir
 
 
 def _plan(df):
@@ -65,3 +65,37 @@ def test_inbox_grows_with_the_rows(spark, sf_dir, monkeypatch):
     inbox = [f for f in os.listdir(folder) if f.startswith("inbox-") and f not in before]
     files = [f for f in os.listdir(f"{folder}/{inbox[0]}") if f.endswith(".parquet")]
     assert len(files) == -(-fx.impressions(spark, sf_dir).count() // 500)
+
+
+def _sent(spark):
+    executors = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+    return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
+
+
+def test_quantiles_send_wanted_buckets_alone(spark):
+    values = (F.pmod(F.hash("id"), F.lit(1_000_003)) / 1_000_003 + 1).alias("x")
+    rows = pin(spark.range(400_000).select(values, (F.col("id") % 2).alias("k")))
+    before = _sent(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "200k")  # the rows are no side to broadcast
+    try:
+        got = ordered.exact_quantiles(rows, ["x"], [0.5], ["k"], written=True).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert _sent(spark) - before < 800_000  # two bytes a row
+    for r in got:
+        xs = np.array([x for x, k in rows.collect() if k == r.k])
+        assert r.quantiles[0] == np.quantile(xs, 0.5) and r.n == len(xs)
+
+
+def test_drift_sends_lines_twice(spark, sf_dir):
+    plain, first = (fx.impressions(spark, sf_dir, customers_first=x) for x in (False, True))
+    assert plain.columns == first.columns
+    assert plain.exceptAll(first).count() == first.exceptAll(plain).count() == 0
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = first.select("batch_id", *fx.DRIFT_FIELDS)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    keys = [k for k in ("l_orderkey", "l_partkey", "o_custkey") if f"hashpartitioning({k}#" in plan]
+    joins = [line for line in plan.splitlines() if "SortMergeJoin" in line]
+    assert len(keys) == 3 and len(joins) == 3 and "o_orderkey" in joins[0]  # customers meet orders, not lines

@@ -151,12 +151,13 @@ def psi(expected: Column, actual: Column, eps: float = PSI_EPS) -> Column:
 
 
 def fit_reference(
-    df: DataFrame, fields: Sequence[str], n_bins: int = 10, ranges: Ranges | None = None
+    df: DataFrame, fields: Sequence[str], n_bins: int = 10, ranges: Ranges | None = None, written: bool = False
 ) -> DriftReference:
     """Fit quantile bins on all training rows (two actions; the result is one row per field).
 
     Inner edges are the quantiles k / n_bins of the finite values, repeated
-    edges collapse, and the outer edges are infinite.
+    edges collapse, and the outer edges are infinite.  ``written``: the rows are a
+    table already and need no other copy.
     """
     missing = [f for f in fields if f not in df.columns]
     if missing:
@@ -164,7 +165,7 @@ def fit_reference(
     if ranges is not None and set(ranges) != set(fields):
         raise ValueError("calibrated ranges must name exactly the reference fields")
     probs = [k / n_bins for k in range(1, n_bins)]
-    quantiles = {r.field: r.quantiles for r in exact_quantiles(df, fields, probs).collect()}
+    quantiles = {r.field: r.quantiles for r in exact_quantiles(df, fields, probs, written=written).collect()}
     edges = {f: [-INF, *sorted(set(quantiles.get(f, []))), INF] for f in fields}
     expected, n_ref = {}, 0
     for r in bin_counts(df, edges).select("field", "n", shares(F.col("counts")).alias("e")).collect():

@@ -122,22 +122,24 @@ def _position(total: Column, p: float) -> tuple[Column, Column, Column]:
 
 
 def exact_quantiles(
-    df: DataFrame, fields: Sequence[str], probs: Sequence[float], keys: Sequence[str] = ()
+    df: DataFrame, fields: Sequence[str], probs: Sequence[float], keys: Sequence[str] = (), written: bool = False
 ) -> DataFrame:
     """Exact quantiles with linear interpolation, one row per (keys, field).
 
     Columns: ``n``, ``min_value``, ``max_value`` and ``quantiles`` (array in the
     order of ``probs``); only finite values count.
 
-    The columns needed are pinned once.  Pass 1 counts rows per coarse bucket (a
+    The columns needed are pinned once, unless ``df`` is ``written`` already.  Pass 1 counts rows per coarse bucket (a
     few thousand rows per field).  The buckets holding a wanted position are few -
     at most two per quantile - and only their rows take part in pass 2, which
-    orders them exactly.  A value that repeats is one counted row before anything
+    orders them exactly; the list of buckets is written first, so that its size is
+    known and no other rows are sent to meet it.  A value that repeats is one counted row before anything
     is ordered.
     """
     keys = list(keys)
     by = [*keys, "field"]
-    narrow = pin(df.select(*dict.fromkeys([*keys, *fields])))
+    narrow = df.select(*dict.fromkeys([*keys, *fields]))
+    narrow = narrow if written else pin(narrow)
     long = unpivot(narrow, fields, keys).withColumn("coarse", order_bucket(F.col("value"), COARSE))
     histogram = long.groupBy(*by, "coarse").agg(
         F.count("*").alias("rows"), F.min("value").alias("low"), F.max("value").alias("high")
@@ -158,7 +160,7 @@ def exact_quantiles(
         low, high, _ = _position(F.col("n"), p)
         first, last = F.col("rows_before"), F.col("rows_before") + F.col("rows") - F.lit(1)
         wanted = wanted | ((low <= last) & (high >= first))
-    needed = placed.filter(wanted).drop("rows")
+    needed = pin(placed.filter(wanted).drop("rows"))
     values = (
         long.join(needed, [*by, "coarse"])
         .groupBy(*by, "coarse", "value", "rows_before", "n", "min_value", "max_value")

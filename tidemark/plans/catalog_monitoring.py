@@ -88,11 +88,11 @@ N_BINS = 10
 
 def _watched(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What drift looks at, written once: reference and report read it several times."""
-    return pin(impressions(spark, sf_dir).select("batch_id", *DRIFT_FIELDS))
+    return pin(impressions(spark, sf_dir, customers_first=True).select("batch_id", *DRIFT_FIELDS))
 
 
 def _reference(rows: DataFrame) -> drift.DriftReference:
-    return drift.fit_reference(rows.filter(F.col("batch_id") < fx.REFERENCE_BATCHES), DRIFT_FIELDS, N_BINS, RANGES)
+    return drift.fit_reference(rows.filter(F.col("batch_id") < fx.REFERENCE_BATCHES), DRIFT_FIELDS, N_BINS, RANGES, written=True)
 
 
 def reference_of(spark: SparkSession, sf_dir: str) -> drift.DriftReference:
