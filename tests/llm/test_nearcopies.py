@@ -88,3 +88,52 @@ def test_only_texts_of_pairs_are_sent(spark, monkeypatch, most):
     kept = sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect())
     assert kept == list(range(300))
     assert sent_bytes(spark) - before < 0.5 * sum(map(len, texts))
+
+
+def test_what_meets_by_chance_leaves_its_cell(spark):
+    """Sizes and places: only members that some other may be similar to go on, each pair that may be among them."""
+    rng = random.Random(12)
+    rows = [(rng.randrange(400), k, rng.choice([5, 20, 25, 100, 120, 600]), rng.randrange(0, 40)) for k in range(1500)]
+    rows = [(c, k, n, min(at, n // 5)) for c, k, n, at in rows]
+    posted = spark.createDataFrame(rows + rows[:200], "cell bigint, node bigint, n int, at int")
+    may = [(a, b) for a in rows for b in rows if a[0] == b[0] and a[1] < b[1]
+           and min(a[2] - a[3], b[2] - b[3]) >= (a[2] + b[2]) * 0.8 / 1.8 - 1e-6]
+    left = {tuple(r)[:4]: r.size for r in nearcopies.meeting(posted).collect()}
+    assert {x for pair in may for x in pair} <= set(left)
+    assert len(left) < 0.8 * len(rows)
+    for cell in {c for c, *_ in left}:
+        here = [x for x in left if x[0] == cell]
+        assert {left[x] for x in here} == {len(here)} and len(here) > 1
+
+
+def test_pairs_beyond_parities_are_not_looked_up(spark, monkeypatch):
+    """Texts sharing a rare passage, of equal size, too little for a copy: none of their texts is sent."""
+    rng = random.Random(6)
+    passage = " ".join(f"p{i}" for i in range(30))
+    texts = [passage + " " + " ".join("%x" % rng.getrandbits(60) for _ in range(120)) for _ in range(12)]
+    formed = []
+    alike = nearcopies.alike
+    monkeypatch.setattr(nearcopies, "alike", lambda pairs, sets: formed.append(pairs.count()) or alike(pairs, sets))
+    kept = corpus_pipeline.drop_near_duplicates(spark, table(spark, texts), "")
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(12))
+    assert not sum(formed)
+
+
+@pytest.mark.parametrize("most", [100_000, 0])
+def test_rows_that_stay_are_not_sent(spark, monkeypatch, most):
+    """Also where the kept keys are too many for Spark to broadcast by itself."""
+    rng = random.Random(9)
+    monkeypatch.setattr(nearcopies, "BROADCAST_ROWS", most)
+    monkeypatch.setattr(nearcopies, "CROWDED", 4)
+    texts = [" ".join("%030x" % rng.getrandbits(120) for _ in range(1000)) for _ in range(200)]
+    docs = table(spark, texts + [texts[5], texts[5], texts[9]])
+    docs = docs.unionByName(docs.where("doc_id IN (5, 7, 201)")).localCheckpoint()
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = sent_bytes(spark)
+        kept = sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert kept == list(range(200))
+    assert sent_bytes(spark) - before < 0.5 * sum(map(len, texts))

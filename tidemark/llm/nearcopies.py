@@ -10,9 +10,10 @@ same for all texts: with n and m shingles they share LEAST / (1 + LEAST) * (n +
 more than the rest may come before the first shared one.  A text is posted under its
 first fifth of shingles with their places, and pairs whose places allow no such overlap
 are never formed, nor those whose sets differ in too many shingles by the parities of a
-few hundred places.  No pair is missed, whatever the order.  The order counted here puts
-frequent shingles last, so that a passage common to many texts makes no cell unless it
-is nearly all of them.  Counts are kept in ``BUCKETS`` buckets; two shingles in
+few hundred places.  A text leaves a cell where no other's size and place allow it, so
+what meets by chance goes no further than the exchange by cell.  No pair is missed,
+whatever the order.  The order counted here puts frequent shingles last, so that a
+passage common to many texts makes no cell unless it is nearly all of them.  Counts are kept in ``BUCKETS`` buckets; two shingles in
 one bucket cost work, not results.  Every candidate pair is checked on the whole sets.
 
 Crowded cells: texts of equal sets are one node.  Every member of a cell is first
@@ -27,9 +28,10 @@ fewer than ``WORDS`` words make one shingle.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
@@ -39,7 +41,7 @@ from tidemark.llm import simhash
 from tidemark.llm.batches import released, slices
 from tidemark.llm.components import connected_components
 from tidemark.llm.simhash import LOWER, fingerprint, row_key
-from tidemark.llm.suffixtree import BROADCAST_ROWS, bit_sets, maybe_in
+from tidemark.llm.suffixtree import BROADCAST_ROWS, bit_sets, maybe_in, small
 from tidemark.session import pin
 
 WORDS, LEAST = 5, 0.8
@@ -178,20 +180,28 @@ def postings(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "cell bigint, node bigint, n int, at int")
 
 
-def texts_of(docs: DataFrame, keys: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(node, text) of the nodes of ``pairs`` (u, v) by ``keys`` (node, row_key); other texts are not sent."""
-    wanted = pin(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(keys, "node"))
+def texts_of(docs: DataFrame, keys: DataFrame, repeated: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(node, text) of the nodes of ``pairs`` (u, v) by ``keys`` (node, row_key); other texts are not sent.
+
+    ``repeated``: (row_key, times) of rows that come more than once, which alone are sent to have one of them left.
+    """
+    nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    wanted = pin(nodes.join(keys.select("node", "row_key"), "node").join(repeated, "row_key", "left"))
+    size, more = wanted.agg(F.count("*"), F.count("times")).first()
     rows = docs.select(row_key().alias("row_key"), "text")
-    if wanted.count() <= BROADCAST_ROWS:
-        return rows.join(F.broadcast(wanted), "row_key").dropDuplicates(["row_key"]).select("node", "text")
-    bits = docs.sparkSession.sparkContext.broadcast(bit_sets(wanted.select(F.col("row_key").alias("k")), "true")[0])
+    if size <= BROADCAST_ROWS:
+        found = rows.join(F.broadcast(wanted), "row_key")
+    else:
+        bits = docs.sparkSession.sparkContext.broadcast(bit_sets(wanted.select(F.col("row_key").alias("k")), "true")[0])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(maybe_in(bits.value, batch.column("row_key").to_numpy())))
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array(maybe_in(bits.value, batch.column("row_key").to_numpy())))
 
-    maybe = rows.mapInArrow(run, "row_key bigint, text string")
-    return maybe.join(wanted, "row_key").dropDuplicates(["row_key"]).select("node", "text")
+        found = rows.mapInArrow(run, "row_key bigint, text string").join(wanted, "row_key")
+    if more:
+        found = found.where("times IS NULL").unionByName(found.where("times IS NOT NULL").dropDuplicates(["row_key"]))
+    return found.select("node", "text")
 
 
 def alike(pairs: DataFrame, texts: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -220,6 +230,24 @@ def _parities_allow(n: Column, odd: Column, m: Column, other: Column) -> Column:
     return differ <= (n + m) * ((1 - LEAST) / (1 + LEAST)) + 1e-6
 
 
+def meeting(posted: DataFrame) -> DataFrame:
+    """(cell, node, n, at, size) of the postings that some other of their cell may be similar to.
+
+    By size and place, a set of n shingles reaches sets of up to a certain size; two sets
+    can be similar only if each reaches the other.  Found in one exchange by cell.
+    """
+    cell = Window.partitionBy("cell")
+    once = posted.withColumn("before", F.lag("node").over(cell.orderBy("node"))).where("NOT node <=> before").drop("before")
+    several = once.withColumn("size", F.count("*").over(cell)).where("size > 1")
+    reach = several.withColumn("reach", (F.col("n") - F.col("at") + 1e-3) * ((1 + LEAST) / LEAST) - F.col("n"))
+    mutual = F.lit(False)
+    for k, order in (("less", [F.col("n"), F.col("node")]), ("more", [F.col("n").desc(), F.col("node").desc()])):
+        others = cell.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        reach = reach.withColumns({f"{k}_far": F.max("reach").over(others), f"{k}_n": F.min("n").over(others)})
+        mutual = mutual | F.coalesce((F.col(f"{k}_far") >= F.col("n")) & (F.col(f"{k}_n") <= F.col("reach")), F.lit(False))
+    return reach.where(mutual).select("cell", "node", "n", "at").withColumn("size", F.count("*").over(cell)).where("size > 1")
+
+
 def alike_prints(marked: DataFrame) -> DataFrame:
     """Edges (u, v) of nodes whose fingerprints are equal or differ in two bits or fewer."""
     held = pin(marked.select("fp", "node").distinct())
@@ -235,33 +263,31 @@ def links(docs: DataFrame, marked: DataFrame) -> DataFrame:
     edges = pin(alike_prints(marked))
     graph = pin(connected_components(edges))
 
-    # one exchange by cell: whoever is alone in one goes no further
-    cell = Window.partitionBy("cell")
-    posted = postings(docs).withColumn("before", F.lag("node").over(cell.orderBy("node"))).where("NOT node <=> before").drop("before")
-    sized = posted.withColumn("size", F.count("*").over(cell)).where("size > 1")
-    cells = pin(_open(pin(sized), graph).drop("comp", "lead"))
-    keys = pin(marked.groupBy("node").agg(F.min("row_key").alias("row_key")))
+    cells = pin(_open(pin(meeting(postings(docs))), graph).drop("comp"))
+    keys = pin(marked.groupBy("node").agg(F.min("row_key").alias("row_key"), F.first("n").alias("n"), F.first("odd").alias("odd")))
+    repeated = pin(marked.groupBy("row_key").agg(F.count("*").alias("times")).where("times > 1"))
 
     def texts(pairs: DataFrame) -> DataFrame:
-        return texts_of(docs, keys, pairs)
+        return texts_of(docs, keys, repeated, pairs)
 
     tried = None
-    for turn in range(LEADERS):
-        now = _open(cells.where(F.col("size") > CROWDED) if turn else cells, graph, turn)
+    for turns in ([0], [*range(1, LEADERS)]):  # further leaders at once: each round takes dozens of jobs
+        now = _open(cells.where(F.col("size") > CROWDED) if 0 not in turns else cells, graph, turns).withColumn("lead", F.explode("leads"))
         pairs = now.where(
             (F.col("comp") != F.col("lead.comp")) & _may_reach(F.col("n"), F.col("at"), F.col("lead.n"), F.col("lead.at")))
         pairs = pairs.select(F.least("node", "lead.node").alias("u"), F.greatest("node", "lead.node").alias("v")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["u", "v"], "left_anti")
-        pairs = pin(pairs)
+        pairs, _ = small(pairs)
         if pairs.isEmpty():
             break
         tried = pairs if tried is None else tried.unionByName(pairs)
-        edges = edges.unionByName(pin(alike(pairs, texts)))
-        graph = pin(connected_components(edges))
+        found = pin(alike(pin(_allowed(pairs, keys)), texts))
+        if not found.isEmpty():
+            edges = edges.unionByName(found)
+            graph = pin(connected_components(edges))
 
-    odd = marked.groupBy("node").agg(F.first("odd").alias("odd"))
-    rest = _open(cells, graph).join(odd, "node")
+    rest = _open(cells, graph).join(keys.select("node", "odd"), "node")
     a, b = (rest.select("cell", *[F.col(c).alias(c + k) for c in ("node", "n", "at", "comp", "odd")]) for k in "uv")
     pairs = a.join(b, "cell").where(
         (F.col("nodeu") < F.col("nodev")) & (F.col("compu") != F.col("compv"))
@@ -274,13 +300,21 @@ def links(docs: DataFrame, marked: DataFrame) -> DataFrame:
     return connected_components(edges.unionByName(pin(alike(pairs, texts))))
 
 
-def _open(cells: DataFrame, graph: DataFrame, turn: int = 0) -> DataFrame:
-    """``cells`` with each node's component and the cell's leader of a turn, without cells of one component."""
+def _allowed(pairs: DataFrame, keys: DataFrame) -> DataFrame:
+    """The pairs (u, v) that their parities allow; ``keys``: (node, n, odd)."""
+    a, b = (keys.select(F.col("node").alias(k), F.col("n").alias("n" + k), F.col("odd").alias("odd" + k)).join(pairs, k) for k in "uv")
+    return a.join(b, ["u", "v"]).where(_parities_allow(F.col("nu"), F.col("oddu"), F.col("nv"), F.col("oddv"))).select("u", "v")
+
+
+def _open(cells: DataFrame, graph: DataFrame, turns: Sequence[int] = ()) -> DataFrame:
+    """``cells`` with each node's component and the cell's leaders of some turns, without cells of one component."""
     named = cells.join(graph, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
     cell = Window.partitionBy("cell")
-    lead = F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "n", "at", "comp")).over(cell)
-    several = named.withColumns({"low": F.min("comp").over(cell), "high": F.max("comp").over(cell), "lead": lead}).where("low <> high")
-    return several.drop("low", "high")
+    several = named.withColumns({"low": F.min("comp").over(cell), "high": F.max("comp").over(cell)})
+    if turns:
+        leads = [F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "n", "at", "comp")).over(cell) for turn in turns]
+        several = several.withColumn("leads", F.array(*leads))
+    return several.where("low <> high").drop("low", "high")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
@@ -297,9 +331,20 @@ def keep_first(docs: DataFrame) -> DataFrame:
     named = pin(nodes.join(roots, "root").select("node", "root", "component_id"))
     found = marked.select("doc_id", "row_key", "node").join(named, "node").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     first = found.groupBy("root").agg(F.min("row_key").alias("row_key")).select("row_key")
-    # only rows repeated with their id are sent to have one of them left
-    first = pin(marked.groupBy("row_key").agg(F.count("*").alias("times")).join(first, "row_key"))
-    keyed = docs.withColumn("_key", row_key())
-    once, more = (first.where(which).select(F.col("row_key").alias("_key")) for which in ("times = 1", "times > 1"))
-    kept = keyed.join(once, "_key", "left_semi").unionByName(keyed.join(more, "_key", "left_semi").dropDuplicates(["_key"]))
+    # rows left out, and those of which one stays, are told apart; all others go through unsent
+    told = marked.groupBy("row_key").agg(F.count("*").alias("times")).join(first.withColumn("stays", F.lit(True)), "row_key", "left")
+    told = pin(told.where("stays IS NULL OR times > 1").select(F.col("row_key").alias("_key"), F.coalesce("stays", F.lit(False)).alias("stays")))
+    size, more = told.agg(F.count("*"), F.count_if("stays")).first()
+    maybe = docs.withColumn("_key", row_key())
+    kept = None
+    if size <= BROADCAST_ROWS:
+        told = F.broadcast(told)
+    else:
+        bits = docs.sparkSession.sparkContext.broadcast(bit_sets(told.select(F.col("_key").alias("k")), "true")[0])
+        hit = F.pandas_udf(lambda k: pd.Series(maybe_in(bits.value, k.to_numpy())), "boolean")(F.col("_key"))
+        kept, maybe = maybe.where(~hit), maybe.where(hit)
+    others = maybe.join(told, "_key", "left_anti")
+    kept = others if kept is None else kept.unionByName(others)
+    if more:
+        kept = kept.unionByName(maybe.join(told.where("stays"), "_key", "left_semi").dropDuplicates(["_key"]))
     return kept.select(*docs.columns)
