@@ -14,7 +14,7 @@ from tidemark.plans.catalog_formulas import rounds, sql_round
 from tidemark.plans.fixtures import DRIFT_FIELDS, IMPRESSIONS, NUMERIC, STD, impressions, r6, with_ctes
 from tidemark.plans.registry import query
 from tidemark.operators import normalise
-from tidemark.session import pin
+from tidemark.session import exchanges_removed, pin, scratch_scope
 
 METRIC_NUMBERS = ("ctr_observed", "ctr_predicted", "logloss", "auc")
 
@@ -265,10 +265,13 @@ def normalised_deviations(spark, sf_dir):
 
 @query("G2")
 def artifact_manifest(spark, sf_dir):
-    df = impressions(spark, sf_dir)
-    artifacts = {"impressions": df, "items": fx.item_metadata(spark, sf_dir)}
-    stored = guards.manifest(spark, artifacts, NUMERIC, fx.CATEGORIES, {"C1": 3}, {"seed": "42"})
-    # another layout, whose tasks are as many as the rows need
-    shuffled = {"impressions": df.repartition("l_partkey", "l_linenumber"), "items": artifacts["items"]}
-    guards.check_manifest(stored, shuffled, NUMERIC)
+    with scratch_scope(spark), exchanges_removed(spark):
+        # joined and written once: both layouts come from it
+        df = pin(impressions(spark, sf_dir, customers_first=True))
+        artifacts = {"impressions": df, "items": fx.item_metadata(spark, sf_dir)}
+        found = guards.manifest(spark, artifacts, NUMERIC, fx.CATEGORIES, {"C1": 3}, {"seed": "42"})
+        stored = spark.createDataFrame(found.collect(), found.schema)  # one row an artifact
+        # another layout, whose tasks are as many as the rows need
+        shuffled = {"impressions": df.repartition("l_partkey", "l_linenumber"), "items": artifacts["items"]}
+        guards.check_manifest(stored, shuffled, NUMERIC)
     return stored
