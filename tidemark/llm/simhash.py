@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.batches import slices
 from tidemark.llm.components import connected_components
+from tidemark.llm.suffixtree import small
 from tidemark.session import pin
 
 SEGMENTS = 16
@@ -106,9 +107,10 @@ def links(fps: DataFrame, most_in_cell: int = MOST_IN_CELL) -> DataFrame:
     ``fps``: distinct fingerprints (fp).  Pairs of sparse cells come out themselves;
     those of crowded cells through shared one-bit changes.
     """
+    # Spark judges postings by the fingerprints before the explode, 33 times too low: what is sent is counted
     posted = postings(fps)
-    sizes = posted.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
-    meeting = pin(posted.join(sizes, "cell"))
+    sizes, _ = small(posted.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1"))
+    meeting, _ = small(posted.join(sizes, "cell"))
     sparse = meeting.where(F.col("n") <= most_in_cell)
     a = sparse.select(F.col("cell"), F.col("fp").alias("u"), F.col("step").alias("su"))
     b = sparse.select(F.col("cell").alias("cell_b"), F.col("fp").alias("v"), F.col("step").alias("sv"))
