@@ -1,12 +1,15 @@
 """Near copies: fingerprints take part, and crowded cells form few pairs."""
 
 import random
+from itertools import takewhile
 
 import numpy as np
 import pytest
 
 import corpus_pipeline
-from tidemark.llm import nearcopies, simhash
+from pyspark.sql import functions as F
+from tidemark.llm import nearcopies, simhash, suffixtree
+from tidemark.session import pin
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -137,3 +140,34 @@ def test_rows_that_stay_are_not_sent(spark, monkeypatch, most):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
     assert kept == list(range(200))
     assert sent_bytes(spark) - before < 0.5 * sum(map(len, texts))
+
+
+@pytest.mark.parametrize("most", [100_000, 0])
+def test_postings_are_never_broadcast(spark, monkeypatch, most):
+    """Spark takes 33 postings a fingerprint for less than one; what is sent is counted, whatever Spark believes."""
+    rng, plans = random.Random(14), []
+    monkeypatch.setattr(suffixtree, "BROADCAST_ROWS", most)
+    for module in (suffixtree, simhash):
+        monkeypatch.setattr(module, "pin", lambda df, *by: plans.append(df._jdf.queryExecution().executedPlan().toString()) or pin(df, *by))
+    seeds = [rng.getrandbits(63) for _ in range(200)]
+    fps = pin(spark.createDataFrame([(x ^ (1 << k),) for x in seeds for k in (0, 5)], "fp bigint"))
+    found = {frozenset(e) for e in simhash.links(fps, most_in_cell=48).collect()}
+    assert {frozenset((x ^ 1, x ^ 32)) for x in seeds} <= found
+    joined = [p for p in plans if "Join" in p]
+    assert joined
+    for plan in joined:
+        lines = plan.splitlines()
+        for i in [k for k, line in enumerate(lines) if "BroadcastExchange" in line]:
+            deep = lines[i].index("BroadcastExchange")
+            below = [x for x in takewhile(lambda x: not x[deep : deep + 1].isalpha() and len(x) > deep, lines[i + 1 :])]
+            assert most and not any("Generate" in x for x in below)
+
+
+def test_many_texts_are_not_broadcast(spark, monkeypatch):
+    """Texts of near copies that take little room in a file go through a sorted join."""
+    monkeypatch.setattr(nearcopies, "SENT_CHARS", 1000, raising=False)
+    texts = pin(spark.range(40).select(F.col("id").alias("node"), F.repeat(F.lit("the same words "), 400).alias("text")))
+    pairs = spark.createDataFrame([(k, k + 1) for k in range(39)], "u bigint, v bigint")
+    found = nearcopies.alike(pairs, lambda _: texts)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == 39

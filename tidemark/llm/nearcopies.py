@@ -50,6 +50,8 @@ CROWDED, LEADERS = 48, 4
 #: Buckets of shingle counts, found by a hash's highest bits, and buckets in a row on their way to the driver.
 BUCKETS, PACKED = 1 << 22, 1 << 12
 SHIFT = np.uint64(64 - 22)
+#: Characters of looked-up texts from which they are not broadcast.
+SENT_CHARS = 8_000_000
 #: Bits of the parities that a pair is held against before it is formed.
 PARITIES = 512
 
@@ -215,6 +217,9 @@ def alike(pairs: DataFrame, texts: Callable[[DataFrame], DataFrame]) -> DataFram
                 yield part.select(["u", "v"]).filter(keep)
 
     found = pin(texts(pairs))
+    # near copies take many times less room in a file than in a broadcast
+    if (found.agg(F.sum(F.length("text"))).first()[0] or 0) > SENT_CHARS:
+        found = found.hint("merge")
     a, b = (found.select(F.col("node").alias(k), F.col("text").alias(c)) for k, c in (("u", "a"), ("v", "b")))
     return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(run, "u bigint, v bigint")
 
