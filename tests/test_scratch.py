@@ -1,12 +1,14 @@
 """What stays on disk while a query runs: exchanges behind written tables, tables no longer read."""
 
+import os
 import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.plans import catalog_monitoring
-from tidemark.session import _CLEANUP, exchanges_removed, pin
+from tidemark.operators import models
+from tidemark.plans import catalog_models, catalog_monitoring
+from tidemark.session import _CLEANUP, exchanges_removed, pin, scratch_path, shared_dir
 
 
 def _exchanged(spark) -> set[str]:
@@ -47,3 +49,33 @@ def test_manifest_joins_its_tables_once(spark, sf_dir, monkeypatch):
     rows = {r.artifact: r.n_rows for r in catalog_monitoring.artifact_manifest(spark, sf_dir).collect()}
     assert rows["impressions"] == spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
     assert not any("Join" in p for p in seen["plans"])
+
+
+def _staged(spark) -> set[str]:
+    return set(os.listdir(shared_dir(spark).removeprefix("file:")))
+
+
+def test_splits_leave_no_joined_rows(spark, sf_dir):
+    before = _staged(spark)
+    parts, sizes = catalog_models._splits(spark, sf_dir)
+    assert [f.split("-")[0] for f in _staged(spark) - before] == ["splits"]
+    assert all(parts[s].count() for s in parts) and set(sizes) == set(catalog_models.INDICES)
+
+
+def test_a_comparison_leaves_its_log(spark):
+    rows = pin(spark.range(2000).select(
+        (F.col("id") % 50 / 10.0).alias("x"), (F.col("id") % 3).cast("int").alias("k"), (F.col("id") % 7 % 2).cast("int").alias("label")))
+    spec = models.ModelSpec(["x"], ["k"], "bucket", n_buckets=4, max_iter=3)
+    before, log = _staged(spark), scratch_path(spark, "log")
+    out = models.compare_models(rows, rows, rows, [spec], [1], log).collect()
+    assert len(out) == 1 and out[0].val_auc == out[0].test_auc
+    assert [f.split("-")[0] for f in _staged(spark) - before] == ["log"]
+
+
+@pytest.mark.parametrize("kind", models.ENCODERS)
+def test_features_are_made_in_one_step(spark, kind):
+    rows = spark.range(300).select((F.col("id") * 37 % 100 / 10.0 - 5).alias("x"), (F.col("id") % 11 * 1.0).alias("y"), (F.col("id") % 9 - 1).cast("int").alias("k"))
+    encoder = models.numeric_encoder(kind, pin(rows), ["x", "y"], grid_size=5, n_buckets=4)
+    for r in models.FeatureEncoder(encoder, ["k"], [7]).transform(encoder.transform(rows)).collect():
+        want = [*r.num_vec.toArray(), *[float(i == min(max(r.k, 0), 6)) for i in range(7)]]
+        assert list(r.features.toArray()) == want and (r.features.values != 0).all()
